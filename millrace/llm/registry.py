@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import substring_dedup
+from . import near_dedup, quality, substring_dedup
 from .common import documents
 
 
@@ -14,7 +14,21 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents on four-word shingles."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=4)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, compression figures and verdict of every document."""
+    return quality.judge_quality(documents(spark, sf_dir))
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_rules": op8_quality_rules,
+}
 ORACLES: dict[str, str] = {}
 
 
