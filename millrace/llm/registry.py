@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, near_dedup, quality, substring_dedup
+from . import line_dedup, mixing, near_dedup, quality, sharding, substring_dedup
 from .common import documents
 
 
@@ -20,6 +20,16 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many of its words the mix takes."""
+    return mixing.mixed_documents(documents(spark, sf_dir))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard and place, with sizes near equal and equal texts together."""
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents on four-word shingles."""
     return near_dedup.near_duplicates(documents(spark, sf_dir), shingle=4)
@@ -33,6 +43,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
