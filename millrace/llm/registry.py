@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, quality, sharding, spotsigs, substring_dedup
+from . import languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
 from .common import documents
 
 
@@ -14,6 +14,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.deduplicate_substrings(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the licenses that it carries, the best of them, and where that stands."""
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["coverage"], m["end"] - m["start"], -m["start"], m["license"].alias("license"), m["start"].alias("start"), m["end"].alias("end"))))
+    found = found.withColumn("best", best)
+    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"])))
+    return found.select("doc_id", "n_words", F.size("matches").alias("n_matches"), names.alias("licenses"), F.col("best.license").alias("license"), F.col("best.coverage").alias("coverage"), F.col("best.start").alias("start_word"), F.col("best.end").alias("end_word"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and its edited text, and their likeness."""
     return spotsigs.fingerprint_edits(documents(spark, sf_dir))
@@ -45,14 +54,30 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of each document: its length bucket, batch and slot."""
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, from a model of those that are not held out."""
+    docs = documents(spark, sf_dir)
+    model = languages.train(docs.filter(languages.remainder(F.col("doc_id")) != 0))
+    found = languages.identify_languages(docs, model)
+    return found.select("doc_id", (languages.remainder(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_license_scan": op2_license_scan,
     "op3_fingerprints": op3_fingerprints,
     "op4_line_dedup": op4_line_dedup,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_packing": op9_packing,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {}
 

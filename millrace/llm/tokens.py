@@ -84,9 +84,11 @@ class Slice:
         return whole, mixed(value[whole])
 
 
-def slices(texts: list[str | None], fold_case: bool = False) -> Iterator[Slice]:
-    """Cuts a batch of texts (null: empty) into slices; each text is whole in one slice."""
-    lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
+def slices(texts: list[str | None], fold: bytes | None = None) -> Iterator[Slice]:
+    """Cuts a batch of texts (null: empty) into slices; each text is whole in one slice. fold: a table that maps single bytes."""
     part: list[bytes] = []
     size = at = 0
     for i, text in enumerate(texts):
@@ -94,7 +96,7 @@ def slices(texts: list[str | None], fold_case: bool = False) -> Iterator[Slice]:
         if part and size + len(data) > SLICE_BYTES:
             yield Slice(part, at)
             part, size, at = [], 0, i
-        part.append(data.translate(lower) if fold_case else data)
+        part.append(data.translate(fold) if fold else data)
         size += len(data) + 1
     if part:
         yield Slice(part, at)
