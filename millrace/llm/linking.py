@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -38,30 +38,34 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(least.select("a", F.col("m").alias("b")).unionByName(small).distinct())
 
 
-def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of items that are linked. buckets: (bucket, item), long; items of one bucket are candidates.
+def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, near: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(node, component) of items that are linked. buckets: (bucket, item), long; items of one bucket are candidates. Further columns
+    of buckets describe the item; those before `item` say which item of a bucket is its hub (the least); near says from two such rows
+    (structs) whether a pair is worth a look.
 
     weigh: takes pairs (a, b), drops those that can't be linked and adds `weight`, the likelier the higher.
     verify: takes pairs (a, b), returns those that are linked.
     """
+    near = near or (lambda x, y: F.lit(True))
+    of_item = [c for c in buckets.columns if c != "bucket"]
     own = Window.partitionBy("bucket")
-    rows = written(buckets.distinct().withColumn("hub", F.min("item").over(own)).withColumn("_n", F.count("*").over(own)).filter("_n > 1").drop("_n"))
+    rows = buckets.distinct().select("bucket", F.struct(*of_item).alias("x")).withColumn("hub", F.min("x").over(own)).withColumn("_n", F.count("*").over(own)).filter("_n > 1")
+    rows = written(rows.select("bucket", F.col("x.item").alias("item"), "x", "hub"))
     best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
-    pairs = written(weigh(rows.filter("item <> hub").select(F.col("hub").alias("a"), F.col("item").alias("b")).distinct()))
+    first = rows.filter(F.col("item") != F.col("hub.item")).filter(near(F.col("x"), F.col("hub")))
+    pairs = written(weigh(first.select(F.col("hub.item").alias("a"), F.col("item").alias("b")).distinct()))
     tested = written(pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b"))
     links = written(verify(tested))
     for turn in range(rounds + 1):
         label = components(links)
-        marked = rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
+        marked = rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", "x", F.coalesce("component", "item").alias("label"))
         # In a bucket with several groups, its largest group meets the others, and those meet each other.
         sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         split = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label")).alias("top")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
         mixed = written(marked.join(split, "bucket"))
-        if mixed.isEmpty():
-            return label
-        minor = mixed.filter("label <> top").select("bucket", F.col("item").alias("i"), F.col("label").alias("li"))
-        other = mixed.select("bucket", F.col("item").alias("j"), F.col("label").alias("lj"), "top")
-        pairs = minor.join(other, "bucket").filter("li <> lj AND (lj = top OR i < j)")
+        minor = mixed.filter("label <> top").select("bucket", F.col("x").alias("xi"), F.col("item").alias("i"), F.col("label").alias("li"))
+        other = mixed.select("bucket", F.col("x").alias("xj"), F.col("item").alias("j"), F.col("label").alias("lj"), "top")
+        pairs = minor.join(other, (minor["bucket"] == other["bucket"]) & F.expr("li <> lj AND (lj = top OR i < j)") & near(F.col("xi"), F.col("xj")))
         pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "li", "lj").distinct()
         pairs = weigh(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if turn < rounds:  # the likeliest pair of each item and group; later rounds see what is left
