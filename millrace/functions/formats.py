@@ -21,7 +21,7 @@ def integer(c: Column) -> Pair:
     """'25.000' and '1,250' become '25' and '1250'; a fraction fails."""
     n = format_number(c)
     whole = F.floor(n).cast("decimal(38,0)")
-    return whole.cast("string"), n.isNull() | (n != whole)
+    return whole.cast("string"), n.isNull() | (n % 1 != 0)
 
 
 def decimal3(c: Column) -> Pair:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.formats import apply_format
 from ..functions.numbers import format_number, validator_number
-from ..functions.text import blank, or_blank, pad_left
+from ..functions.text import blank, or_blank, pad_left, strip
 from . import rules as R
 
 HEADER_KEYS = ("po_number", "po_date", "requested_date", "brand_text", "order_text", "ship_to_text", "bill_to_text", "currency_text", "incoterms_text", "payment_terms_text", "packing_spec", "remark_default")
@@ -50,8 +50,9 @@ def split_orders(documents: DataFrame) -> DataFrame:
 class Scope:
     """Names to Columns: meta.x, header.x, shipment.x, line.x (and .extra.x), _derived, field.X, rule names and rule.key."""
 
-    def __init__(self, meta: Mapping[str, str]):
+    def __init__(self, meta: Mapping[str, str], rows: DataFrame):
         self.meta, self.named = dict(meta), {}
+        self.keys = {h: set(rows.schema[h].dataType.fieldNames()) for h in ("header", "shipment", "line") if h in rows.columns}
 
     def __call__(self, path: str) -> Column | None:
         head, _, rest = path.partition(".")
@@ -59,11 +60,12 @@ class Scope:
             return F.lit(str(self.meta[rest])) if rest in self.meta else None
         if head in ("header", "shipment", "line"):
             if rest.startswith("extra.") and head != "shipment":
+                if "extra" not in self.keys.get(head, ()):
+                    return None
                 return or_blank(F.col(f"{head}.extra")[rest[6:]]["value"])
             if head == "line" and rest == "line_no":
                 return F.col("line_no").cast("string")
-            known = {"header": HEADER_KEYS, "shipment": SHIPMENT_KEYS, "line": LINE_KEYS}[head]
-            return or_blank(F.trim(F.col(f"{head}.{rest}.value"))) if rest in known else None
+            return or_blank(strip(F.col(f"{head}.{rest}.value"))) if rest in self.keys.get(head, ()) - {"src", "src_end", "lines", "extra"} else None
         if path in self.named:
             return self.named[path]
         if head in self.named and rest:
@@ -115,14 +117,18 @@ def render(value: Column, spec: Mapping, name: str, scope: Scope) -> tuple[Colum
 
 
 def build(documents: DataFrame, book: Mapping) -> DataFrame:
+    """Order rows of documents with doc_id and `po`, a typed tree: split, then build_rows."""
+    return build_rows(split_orders(documents), book)
+
+
+def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
     """Order rows: doc_id, row_id, group, line_no, one string column for each send field, issues.
 
-    documents: doc_id and `po`. book: meta, base, tables, rules, fields, field_specs (in order), split, validation. Missing values are
+    rows: doc_id, ship_idx, line_no, split, totals, and the structs header, shipment and line, each with the keys that are needed. book: meta, base, tables, rules, fields, field_specs (in order), split, validation. Missing values are
     '', never null. Field names and order come from field_specs. Issues stand in the order tables, rules, fields, row validation, checks,
     likely missed.
     """
-    scope = Scope(book.get("meta", {}))
-    rows = split_orders(documents)
+    scope = Scope(book.get("meta", {}), rows)
     found: list[str] = []
 
     def keep(issues: list[Column]) -> None:

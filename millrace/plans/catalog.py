@@ -1,4 +1,6 @@
 """The registered queries of the rule engine and their SQL twins."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import document_queries, review_queries, rule_queries  # noqa: F401  they register their queries
+from .common import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
