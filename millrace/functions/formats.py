@@ -33,14 +33,21 @@ def decimal3(c: Column) -> Pair:
 def date_yyyymmdd(c: Column) -> Pair:
     """Y-M-D, Y.M.D, Y/M/D or YYYYMMDD; else M/D/Y, or D/M/Y if the first number is over 12. Only ranges are checked."""
     raw = strip(c)
-    ymd, packed, slash = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})$", r"^(\d{4})(\d{2})(\d{2})$", r"^(\d{1,2})[-./](\d{1,2})[-./](\d{2}|\d{4})$"
-    part = lambda p, i: F.regexp_extract(raw, p, i).try_cast("int")
-    first, second, last = (part(slash, i) for i in (1, 2, 3))
-    year = F.when(raw.rlike(ymd), part(ymd, 1)).when(raw.rlike(packed), part(packed, 1)).otherwise(F.when(last < 100, last + 2000).otherwise(last))
-    month = F.when(raw.rlike(ymd), part(ymd, 2)).when(raw.rlike(packed), part(packed, 2)).otherwise(F.when(first <= 12, first).otherwise(second))
-    day = F.when(raw.rlike(ymd), part(ymd, 3)).when(raw.rlike(packed), part(packed, 3)).otherwise(F.when(first <= 12, second).otherwise(first))
-    text = F.concat(*(F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2))))
-    return text, ~F.coalesce(month.between(1, 12) & day.between(1, 31), F.lit(False))
+    known = raw.rlike(r"^(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{8}|\d{1,2}[-./]\d{1,2}[-./](?:\d{2}|\d{4}))$")
+    packed = F.concat_ws("-", F.substring(raw, 1, 4), F.substring(raw, 5, 2), F.substring(raw, 7, 2))
+    parts = F.split(F.when(F.length(raw) == 8, F.when(raw.rlike(r"^\d{8}$"), packed).otherwise(raw)).otherwise(raw), "[-./]")
+
+    def assembled(p: Column) -> Column:
+        first, second, last = (F.get(p, F.lit(i)).try_cast("int") for i in range(3))
+        ymd = F.length(F.get(p, F.lit(0))) == 4
+        year = F.when(ymd, first).when(last < 100, last + 2000).otherwise(last)
+        month = F.when(ymd, second).when(first <= 12, first).otherwise(second)
+        day = F.when(ymd, last).when(first <= 12, second).otherwise(first)
+        text = F.concat(*(F.lpad(x.cast("string"), n, "0") for x, n in ((year, 4), (month, 2), (day, 2))))
+        return F.when(month.between(1, 12) & day.between(1, 31), text)
+
+    text = F.when(known, F.get(F.transform(F.array(parts), assembled), F.lit(0)))  # the parts are computed once
+    return text, text.isNull()
 
 
 def strip_parens(c: Column) -> Column:

@@ -101,19 +101,24 @@ def _when(test: Column, what: Column) -> Column:
     return F.when(test, what).otherwise(F.lit(None).cast(ISSUE))
 
 
-def render(value: Column, spec: Mapping, name: str, scope: Scope) -> tuple[Column, list[Column]]:
-    """Value, then fallback if blank, then format, then default if blank. A failed format keeps the text, and skips the default."""
+def render(rows: DataFrame, name: str, value: Column, spec: Mapping, scope: Scope) -> tuple[DataFrame, list[Column]]:
+    """Adds a field: value, then fallback if blank, then format, then default if blank. A failed format keeps the text, and skips the
+    default. Each step is a column of its own, as later steps use it more than once."""
     issues: list[Column] = []
+    rows = rows.withColumn(name, value)
     if spec.get("fallback"):
         other = scope(spec["fallback"])
-        value = F.when(blank(value), or_blank(other) if other is not None else F.lit("")).otherwise(value)
-    failed = F.lit(False)
+        rows = rows.withColumn(name, F.when(blank(F.col(name)), or_blank(other) if other is not None else F.lit("")).otherwise(F.col(name)))
+    free = blank(F.col(name))
     if spec.get("format"):
-        value, failed = apply_format(spec["format"], value)
-        issues.append(_when(failed, issue(name, "error", "FORMAT_ERROR", F.concat(F.lit(f"{spec['format']}: "), value))))
+        text, failed = apply_format(spec["format"], F.col(name))
+        rows = rows.withColumn(f"_f_{name}", F.struct(text.alias("text"), failed.alias("failed")))
+        rows = rows.withColumn(name, F.col(f"_f_{name}.text"))
+        issues.append(_when(F.col(f"_f_{name}.failed"), issue(name, "error", "FORMAT_ERROR", F.concat(F.lit(f"{spec['format']}: "), F.col(name)))))
+        free = free & ~F.col(f"_f_{name}.failed")
     if spec.get("default") is not None:
-        value = F.when(blank(value) & ~failed, F.lit(str(spec["default"]))).otherwise(value)
-    return value, issues
+        rows = rows.withColumn(name, F.when(free, F.lit(str(spec["default"]))).otherwise(F.col(name)))
+    return rows, issues
 
 
 def build(documents: DataFrame, book: Mapping) -> DataFrame:
@@ -199,8 +204,7 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
             compiled = X.compile_expr(spec["expr"], lambda p: F.lit("") if p.startswith("field.") else scope(p))
             value = F.when(compiled.error.isNull(), X.as_text(compiled)).otherwise(F.lit(""))
             issues.append(_when(compiled.error.isNotNull(), issue(name, "error", "EXPR_ERROR", compiled.error)))
-        value, more = render(value, spec, name, scope)
-        rows = rows.withColumn(name, value)
+        rows, more = render(rows, name, value, spec, scope)
         keep(issues + more)
     rows = recompute_derived(rows, book, derived, scope)
     rows = rows.withColumn("_rowv", _kept(row_validation(specs)))
