@@ -44,23 +44,27 @@ def _within_buckets(mixed: DataFrame, near: Callable[[Column, Column], Column])
     return minor.join(other, (minor["bucket"] == other["bucket"]) & F.expr("li <> lj AND (lj = top OR i < j)") & near(F.col("xi"), F.col("xj")))
 
 
-def prefix_pairs(tokens: DataFrame, overlap: Column, least: Column, token_bytes: int = 24) -> DataFrame:
+def prefix_pairs(tokens: DataFrame, overlap: Column, least: Column, within: DataFrame | None = None) -> DataFrame:
     """(i, j, li, lj) of all pairs of items with different labels whose token sets may share `overlap` tokens (prefix filtering, Chaudhuri
     et al., 2006). No such pair is lost, and items that are only alike in what a whole group has in common don't meet.
 
     tokens: (item, label, size, token), each token of an item once; size is the item's number of tokens. overlap: the least overlap of a
-    linked pair, from its sizes size_i and size_j. least: the least overlap with any item, from `size`.
+    linked pair, from its sizes size_i and size_j. least: the least overlap with any item, from `size`. within: (bucket, item); only items
+    of one bucket meet then.
 
     Tokens are ordered by the number of items that have them, those that no other label has first. Two sets that share so many tokens share
     one of the first size - overlap + 1 of each.
     """
     common = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rows = attach(tokens, written(common.select("token", "n")), ["token"], "inner", row_bytes=token_bytes)
+    rows = attach(tokens, written(common.select("token", "n")), ["token"], "inner", row_bytes=24)
     rows = rows.withColumn("shared", F.count("*").over(Window.partitionBy("item"))).filter(F.col("shared") >= least)
     rows = rows.withColumn("at", F.col("size") - F.col("shared") + F.row_number().over(Window.partitionBy("item").orderBy("n", "token")))
     rows = written(rows.filter(F.col("at") <= F.col("size") - least + 1).select("token", "item", "label", "size", "shared", "at"))
-    i, j = ([F.col(c).alias(f"{c}_{side}" if c not in ("item", "label") else {"item": side, "label": f"l{side}"}[c]) for c in rows.columns] for side in "ij")
-    found = rows.select(*i).join(rows.select(*j), F.expr("token_i = token_j AND i < j AND li <> lj") & (F.least("shared_i", "shared_j") >= overlap) & (F.col("at_i") <= F.col("size_i") - overlap + 1) & (F.col("at_j") <= F.col("size_j") - overlap + 1))
+    rows = rows.withColumn("bucket", F.lit(0)) if within is None else rows.join(within, "item")
+    left = rows.select("bucket", "token", *(F.col(c).alias(n) for c, n in (("item", "i"), ("label", "li"), ("size", "size_i"), ("shared", "shared_i"), ("at", "at_i"))))
+    right = rows.select("bucket", "token", *(F.col(c).alias(n) for c, n in (("item", "j"), ("label", "lj"), ("size", "size_j"), ("shared", "shared_j"), ("at", "at_j"))))
+    alike = (F.least("shared_i", "shared_j") >= overlap) & (F.col("at_i") <= F.col("size_i") - overlap + 1) & (F.col("at_j") <= F.col("size_j") - overlap + 1)
+    found = left.join(right, (left["bucket"] == right["bucket"]) & (left["token"] == right["token"]) & F.expr("i < j AND li <> lj") & alike)
     return found.select("i", "j", "li", "lj")
 
 
@@ -71,8 +75,8 @@ def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify:
 
     weigh: takes pairs (a, b), drops those that can't be linked and adds `weight`, the likelier the higher.
     verify: takes pairs (a, b), returns those that are linked.
-    meet: takes (item, label) of the items that stand in buckets with several groups, returns pairs (i, j, li, lj) of different labels, all
-    that may be linked among them (see prefix_pairs); without it, the pairs within each such bucket.
+    meet: takes (bucket, item, label) of the buckets with several groups, returns pairs (i, j, li, lj) of different labels, all that may be
+    linked among those of a bucket (see prefix_pairs); without it, all pairs within each such bucket.
     """
     near = near or (lambda x, y: F.lit(True))
     of_item = [c for c in buckets.columns if c != "bucket"]
@@ -91,7 +95,7 @@ def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify:
         sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         split = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label")).alias("top")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
         mixed = written(marked.join(split, "bucket"))
-        pairs = meet(written(mixed.select("item", "label").distinct())) if meet else _within_buckets(mixed, near)
+        pairs = meet(mixed) if meet else _within_buckets(mixed, near)
         pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "li", "lj").distinct()
         pairs = weigh(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if turn < rounds:  # the likeliest pair of each item and group; later rounds see what is left
