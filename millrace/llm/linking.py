@@ -73,7 +73,7 @@ def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify:
     of buckets describe the item; those before `item` say which item of a bucket is its hub (the least); near says from two such rows
     (structs) whether a pair is worth a look.
 
-    weigh: takes pairs (a, b), drops those that can't be linked and adds `weight`, the likelier the higher.
+    weigh: takes pairs (a, b) and the number of times they meet (`times`; how many buckets, unless meet finds them), drops those that can't be linked and adds `weight`, the likelier the higher.
     verify: takes pairs (a, b), returns those that are linked.
     meet: takes (bucket, item, label) of the buckets with several groups, returns pairs (i, j, li, lj) of different labels, all that may be
     linked among those of a bucket (see prefix_pairs); without it, all pairs within each such bucket.
@@ -85,7 +85,7 @@ def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify:
     rows = written(rows.select("bucket", F.col("x.item").alias("item"), "x", "hub"))
     best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
     first = rows.filter(F.col("item") != F.col("hub.item")).filter(near(F.col("x"), F.col("hub")))
-    pairs = written(weigh(first.select(F.col("hub.item").alias("a"), F.col("item").alias("b")).distinct()))
+    pairs = written(weigh(first.select(F.col("hub.item").alias("a"), F.col("item").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))))
     tested = written(pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b"))
     links = written(verify(tested))
     for turn in range(rounds + 1):
@@ -96,7 +96,8 @@ def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify:
         split = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label")).alias("top")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
         mixed = written(marked.join(split, "bucket"))
         pairs = meet(mixed) if meet else _within_buckets(mixed, near)
-        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "li", "lj").distinct()
+        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.least("li", "lj").alias("li"), F.greatest("li", "lj").alias("lj"))
+        pairs = pairs.groupBy("a", "b", "li", "lj").agg(F.count("*").alias("times"))
         pairs = weigh(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
         if turn < rounds:  # the likeliest pair of each item and group; later rounds see what is left
             likely = Window.partitionBy("b", F.least("li", "lj"), F.greatest("li", "lj")).orderBy(F.desc("weight"), "a")
