@@ -2,13 +2,15 @@
 
 Where a window of a text has enough of a template's words, the two are aligned: equal words at both ends are paired, then words unique
 to both become anchors, the longest increasing run of them is kept, and the gaps between are aligned in the same way. The share of the
-template's words that are paired is its coverage. Of matches that overlap, the one that fits best stays.
+template's words that are paired is its coverage, and the phrases that tell its license from others must be paired whole. Of matches
+that overlap, the one that fits best stays; a notice within a whole text belongs to it.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,47 @@ COVERAGE = 0.8
 #: A match spans this many times its template's words at most.
 STRETCH = 1.25
 
+#: Whole texts: file in license_texts, SPDX identifier.
+_WHOLE = (
+    ("Apache-2.0", "Apache-2.0"), ("BSD", "BSD-3-Clause"), ("CC0-1.0", "CC0-1.0"), ("GFDL-1.2", "GFDL-1.2"), ("GFDL-1.3", "GFDL-1.3"), ("GPL-1", "GPL-1.0"), ("GPL-2", "GPL-2.0"),
+    ("GPL-3", "GPL-3.0"), ("LGPL-2", "LGPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"),
+)
+_TEXTS = {name: (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text() for file, name in _WHOLE}
+# BSD-2-Clause is the three-clause text less its last clause.
+_BSD = _TEXTS["BSD-3-Clause"]
+_TEXTS["BSD-2-Clause"] = _BSD[: _BSD.index("3. Neither")] + _BSD[_BSD.index("THIS SOFTWARE IS PROVIDED") :]
+_GNU = {"GPL": "GNU General Public License", "LGPL": "GNU Lesser General Public License", "AGPL": "GNU Affero General Public License"}
+_GNU_VERSIONS = (("GPL", "1"), ("GPL", "2"), ("GPL", "3"), ("LGPL", "2.1"), ("LGPL", "3"), ("AGPL", "3"))
+_GNU_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software "
+    "Foundation, {version}. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied "
+    "warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details."
+)
+_CC = tuple((f"CC-{kind}-{v}", f"CC {kind} {v}") for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in ("1.0", "2.0", "2.5", "3.0", "4.0"))
+
+
+def _gnu() -> Iterator[tuple[str, str]]:
+    for kind, version in _GNU_VERSIONS:
+        spdx = f"{kind}-{version if '.' in version else version + '.0'}"
+        if spdx not in ("GPL-2.0", "GPL-3.0"):  # those stand below
+            yield spdx, f"This work is licensed under the {_GNU[kind]}, version {version}."
+        yield f"{spdx}-only", _GNU_NOTICE.format(name=_GNU[kind], version=f"version {version} of the License")
+        if spdx != "GPL-3.0":
+            yield f"{spdx}-or-later", _GNU_NOTICE.format(name=_GNU[kind], version=f"either version {version} of the License, or (at your option) any later version")
+
+
+def _keys(spdx: str) -> tuple[str, ...]:
+    """Phrases that tell a license from others; those that a template has must be paired without a gap at one place at least."""
+    kind, _, rest = spdx.partition("-")
+    if kind in _GNU:
+        version = rest.split("-")[0].removesuffix(".0")
+        return _GNU[kind], f"version {version}", f"{version} of the license", "any later version"
+    if kind == "CC":
+        return (spdx,)
+    own = {"MIT": ("MIT License",), "Apache": ("Apache License", "Version 2.0"), "MPL": ("Mozilla Public License", f"v. {rest}", f"Version {rest}"), "CC0": ("CC0 1.0",), "GFDL": (f"Version {rest}",)}
+    return {"BSD-3-Clause": ("Neither the name",), "BSD-4-Clause": ("All advertising materials",)}.get(spdx, own.get(kind, ()))
+
+
 # Public license texts and notices, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
@@ -40,14 +83,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         'the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS '
-        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
-    ),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
-        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution.",
+        "ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR "
+        "BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR "
+        "PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR "
+        "PERFORMANCE OF THIS SOFTWARE.",
     ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -67,10 +106,10 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
+    *((spdx, f"Licensed under {name}.") for spdx, name in _CC),
+    *_gnu(),
+    *_TEXTS.items(),
 )
 #: ASCII letters in lower case and digits; other ASCII characters part words.
 _FOLD = bytes(32 if c < 128 and not chr(c).isalnum() else (c + 32 if 65 <= c <= 90 else c) for c in range(256))
@@ -151,21 +190,39 @@ def windows(words: np.ndarray, vocabulary: np.ndarray, last: np.ndarray, length:
     return np.sort(spots[order][np.concatenate([[True], np.diff(group[order]) != 0])])
 
 
-def matches(part: Slice, templates: list[tuple[str, np.ndarray]], coverage: float) -> list[list[dict]]:
+def places(template: list[int], name: str) -> list[list[list[int]]]:
+    """Where a template has each of its license's phrases: for each phrase, the places of its words at each occurrence."""
+    out = []
+    for phrase in _keys(name):
+        words = template_words(phrase).tolist()
+        at = [list(range(i, i + len(words))) for i in range(len(template)) if template[i : i + len(words)] == words]
+        if at:
+            out.append(at)
+    return out
+
+
+def matches(part: Slice, templates: list[tuple[str, np.ndarray, list[list[list[int]]]]], coverage: float) -> list[list[dict]]:
     """For each text of a slice, its matches by place: license, coverage, likeness, first and end word."""
     out: list[list[dict]] = [[] for _ in range(part.texts)]
     last = (part.first + part.count)[part.doc] if len(part.hash) else np.zeros(0, dtype=np.int64)
-    for name, template in templates:
+    most = int(part.count.max(initial=0))
+    for name, template, keys in templates:
         n, wanted = len(template), template.tolist()
+        if most < coverage * n - 1e-9:
+            continue
         for at in windows(part.hash, np.unique(template), last, n, coverage).tolist():
             doc = int(part.doc[at])
             pairs = aligned(part.hash[at : min(at + int(n * STRETCH), int(last[at]))].tolist(), wanted)
             if len(pairs) < coverage * n - 1e-9:
                 continue
+            of = {j: i for i, j in pairs}
+            if not all(any(all(j in of and of[j] - j == of[key[0]] - key[0] for j in key) for key in spots) for spots in keys):
+                continue
             first, end = at + pairs[0][0], at + pairs[-1][0] + 1
             start = int(part.first[doc])
             out[doc].append({"license": name, "coverage": len(pairs) / n, "likeness": 2 * len(pairs) / (n + end - first), "words": n, "start": first - start, "end": end - start})
     for doc, found in enumerate(out):
+        found = [m for m in found if not any(k["words"] >= 2 * m["words"] and k["start"] <= m["start"] and m["end"] <= k["end"] for k in found)]
         kept: list[dict] = []
         for m in sorted(found, key=lambda m: (-round(m["likeness"], 9), -m["words"], m["start"], m["license"])):
             if all(m["end"] <= k["start"] or m["start"] >= k["end"] for k in kept):
@@ -178,7 +235,7 @@ SCANNED = "doc_id long, n_words long, matches array<struct<license:string,covera
 
 
 def _scan(templates: tuple[tuple[str, str], ...], coverage: float):
-    prepared = [(name, template_words(text)) for name, text in templates]
+    prepared = [(name, words, places(words.tolist(), name)) for name, words in ((name, template_words(text)) for name, text in templates)]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int32()), ("end", pa.int32())]))
