@@ -64,9 +64,9 @@ def split_blocks(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(order) - 1)
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words of the text, 0 if it is null."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.expr(WORD_COUNT), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns to keep: size is the number of words of the text, 0 if it is null."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.expr(WORD_COUNT), F.lit(0)).cast("long").alias("size"), *keep)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 20, row_key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -131,11 +131,19 @@ def first_words(text: Column, n: Column) -> Column:
 
 def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), **options) -> DataFrame:
     """docs as the mix takes them: each row as often as it is drawn, with its columns as they were; where the mix takes a part, text is
-    that part. Rows with a null doc_id are left out; rows that repeat a doc_id are taken as the most drawn of them."""
-    _, placed = mix(sized(docs), weights, **options)
+    that part. Rows that repeat a doc_id are taken as the most drawn of them; rows with a null doc_id are taken each on its own."""
+    same = Window.partitionBy("_hash").orderBy("text")
+    unnamed = docs.filter("doc_id IS NULL").withColumn("_hash", F.xxhash64("source", "text")).withColumn("_nth", F.row_number().over(same))
+    named = docs.filter("doc_id IS NOT NULL")
+    no = {"_hash": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")}
+    keys = ("_hash", "_nth")
+    _, placed = mix(sized(named).withColumns(no).unionByName(sized(unnamed, keys)), weights, **options)
+    placed = written(placed.select("doc_id", *keys, "size", "words"))
     taken = placed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), "size").agg(F.collect_list("words").alias("_words"))
     taken = written(taken.groupBy("_id").agg(F.max_by("_words", F.size("_words")).alias("_words"), F.first("size").alias("_size")))
-    rows = attach(docs.withColumn("_id", F.col("doc_id").cast("long")), taken, ["_id"], "inner", row_bytes=48)
+    rows = attach(named.withColumn("_id", F.col("doc_id").cast("long")), taken, ["_id"], "inner", row_bytes=48)
+    alone = placed.filter("doc_id IS NULL").groupBy(*keys).agg(F.collect_list("words").alias("_words"), F.first("size").alias("_size"))
+    rows = rows.drop("_id").unionByName(unnamed.join(alone, list(keys)).drop(*keys))
     rows = rows.withColumn("_take", F.explode("_words"))
     text = F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take").cast("int"))).otherwise(F.col("text"))
     return rows.withColumn("text", text).select(*docs.columns)
