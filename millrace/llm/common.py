@@ -32,6 +32,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def attach(big: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int = 16) -> DataFrame:
     """Joins a written table to a wide one. The table is broadcast if its counted rows take BROADCAST_BYTES at most;
     beyond that both sides are shuffled."""

@@ -1,19 +1,17 @@
 """Connected groups of near duplicates from buckets of candidates, without all pairs of a bucket. DataFrame operations only.
 
-Linked items join a group through one hub per item first; only items that still stand in different groups of a bucket are compared
-further. A pair within one group needs no test, as its link could change nothing, so groups come out as with all pairs tested.
+Every item of a bucket is compared with one item of it, the hub, so that a bucket of n items gives n - 1 pairs. Where a bucket then still
+holds several groups, its items are dealt to finer buckets, whose own hubs are closer to them; levels go on until one links nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, written
-
-ROUNDS = 3
+from .common import written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -38,73 +36,54 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(least.select("a", F.col("m").alias("b")).unionByName(small).distinct())
 
 
-def _within_buckets(mixed: DataFrame, near: Callable[[Column, Column], Column]) -> DataFrame:
-    minor = mixed.filter("label <> top").select("bucket", F.col("x").alias("xi"), F.col("item").alias("i"), F.col("label").alias("li"))
-    other = mixed.select("bucket", F.col("x").alias("xj"), F.col("item").alias("j"), F.col("label").alias("lj"), "top")
-    return minor.join(other, (minor["bucket"] == other["bucket"]) & F.expr("li <> lj AND (lj = top OR i < j)") & near(F.col("xi"), F.col("xj")))
+def joined_keys(m: int):
+    """Finer keys: every m of an item's keys together."""
 
+    def keys(own: Column) -> Column:
+        found = F.transform(own, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+        for _ in range(m - 1):
+            found = F.flatten(F.transform(found, lambda c: F.transform(F.sequence(c["i"] + 1, F.size(own)), lambda j: F.struct(F.xxhash64(c["h"], F.get(own, j)).alias("h"), j.alias("i")))))
+            found = F.filter(found, lambda c: c["i"] < F.size(own))
+        return F.array_distinct(F.transform(found, lambda c: c["h"]))
 
-def prefix_pairs(tokens: DataFrame, overlap: Column, least: Column, within: DataFrame | None = None) -> DataFrame:
-    """(i, j, li, lj) of all pairs of items with different labels whose token sets may share `overlap` tokens (prefix filtering, Chaudhuri
-    et al., 2006). No such pair is lost, and items that are only alike in what a whole group has in common don't meet.
+    return keys
 
-    tokens: (item, label, size, token), each token of an item once; size is the item's number of tokens. overlap: the least overlap of a
-    linked pair, from its sizes size_i and size_j. least: the least overlap with any item, from `size`. within: (bucket, item); only items
-    of one bucket meet then.
 
-    Tokens are ordered by the number of items that have them, those that no other label has first. Two sets that share so many tokens share
-    one of the first size - overlap + 1 of each.
-    """
-    common = tokens.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
-    rows = attach(tokens, written(common.select("token", "n")), ["token"], "inner", row_bytes=24)
-    rows = rows.withColumn("shared", F.count("*").over(Window.partitionBy("item"))).filter(F.col("shared") >= least)
-    rows = rows.withColumn("at", F.col("size") - F.col("shared") + F.row_number().over(Window.partitionBy("item").orderBy("n", "token")))
-    rows = written(rows.filter(F.col("at") <= F.col("size") - least + 1).select("token", "item", "label", "size", "shared", "at"))
-    rows = rows.withColumn("bucket", F.lit(0)) if within is None else rows.join(within, "item")
-    left = rows.select("bucket", "token", *(F.col(c).alias(n) for c, n in (("item", "i"), ("label", "li"), ("size", "size_i"), ("shared", "shared_i"), ("at", "at_i"))))
-    right = rows.select("bucket", "token", *(F.col(c).alias(n) for c, n in (("item", "j"), ("label", "lj"), ("size", "size_j"), ("shared", "shared_j"), ("at", "at_j"))))
-    alike = (F.least("shared_i", "shared_j") >= overlap) & (F.col("at_i") <= F.col("size_i") - overlap + 1) & (F.col("at_j") <= F.col("size_j") - overlap + 1)
-    found = left.join(right, (left["bucket"] == right["bucket"]) & (left["token"] == right["token"]) & F.expr("i < j AND li <> lj") & alike)
-    return found.select("i", "j", "li", "lj")
-
-
-def grouped(buckets: DataFrame, weigh: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS, near: Callable[[Column, Column], Column] | None = None, meet: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of items that are linked. buckets: (bucket, item), long; items of one bucket are candidates. Further columns
-    of buckets describe the item; those before `item` say which item of a bucket is its hub (the least); near says from two such rows
-    (structs) whether a pair is worth a look.
-
-    weigh: takes pairs (a, b) and the number of times they meet (`times`; how many buckets, unless meet finds them), drops those that can't be linked and adds `weight`, the likelier the higher.
-    verify: takes pairs (a, b), returns those that are linked.
-    meet: takes (bucket, item, label) of the buckets with several groups, returns pairs (i, j, li, lj) of different labels, all that may be
-    linked among those of a bucket (see prefix_pairs); without it, all pairs within each such bucket.
+def crowded(items: DataFrame, keys: Column) -> DataFrame:
+    """(bucket, item, n): the keys of each item that n > 1 items have. Keys of an item are distinct."""
+    rows = items.select("item", F.explode(keys).alias("bucket"))
+    counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    return rows.join(counts, "bucket").select("bucket", "item", "n")
+
+
+def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) of items that are linked; items that are linked with nothing may be absent.
+
+    items: (item, keys), the keys of each item as an array of distinct longs. shared: the written crowded() of these keys. finer: from the
+    keys, those of each further level. verify: takes candidate pairs (a, b), returns those that are linked.
+
+    The hub of a first bucket is the item that shares its buckets with the most others, the likeliest to be what copies come from; that
+    of a finer bucket any one, by hash. A link is found if both of its items are linked with a common hub, or if one is the hub.
     """
-    near = near or (lambda x, y: F.lit(True))
-    of_item = [c for c in buckets.columns if c != "bucket"]
-    own = Window.partitionBy("bucket")
-    rows = buckets.distinct().select("bucket", F.struct(*of_item).alias("x")).withColumn("hub", F.min("x").over(own)).withColumn("_n", F.count("*").over(own)).filter("_n > 1")
-    rows = written(rows.select("bucket", F.col("x.item").alias("item"), "x", "hub"))
-    best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
-    first = rows.filter(F.col("item") != F.col("hub.item")).filter(near(F.col("x"), F.col("hub")))
-    pairs = written(weigh(first.select(F.col("hub.item").alias("a"), F.col("item").alias("b")).groupBy("a", "b").agg(F.count("*").alias("times"))))
-    tested = written(pairs.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("a", "b"))
-    links = written(verify(tested))
-    for turn in range(rounds + 1):
-        label = components(links)
-        marked = rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", "x", F.coalesce("component", "item").alias("label"))
-        # In a bucket with several groups, its largest group meets the others, and those meet each other.
-        sizes = marked.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        split = sizes.groupBy("bucket").agg(F.count("*").alias("groups"), F.max(F.struct("n", "label")).alias("top")).filter("groups > 1").select("bucket", F.col("top.label").alias("top"))
-        mixed = written(marked.join(split, "bucket"))
-        pairs = meet(mixed) if meet else _within_buckets(mixed, near)
-        pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.least("li", "lj").alias("li"), F.greatest("li", "lj").alias("lj"))
-        pairs = pairs.groupBy("a", "b", "li", "lj").agg(F.count("*").alias("times"))
-        pairs = weigh(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        if turn < rounds:  # the likeliest pair of each item and group; later rounds see what is left
-            likely = Window.partitionBy("b", F.least("li", "lj"), F.greatest("li", "lj")).orderBy(F.desc("weight"), "a")
-            pairs = pairs.withColumn("_r", F.row_number().over(likely)).filter("_r = 1")
-        pairs = written(pairs.select("a", "b"))
-        if pairs.isEmpty():
-            return label
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(written(verify(pairs)))
-    return components(links)
+    central = shared.groupBy("item").agg(F.sum("n").alias("met"))
+    ranked = shared.join(central, "item").select("bucket", "item", "met")
+    hubs = ranked.groupBy("bucket").agg(F.max_by("item", F.struct("met", F.col("item"))).alias("hub"))
+    pairs = shared.join(hubs, "bucket").filter("item <> hub").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
+    links = written(verify(written(pairs)))
+    label = written(components(links))
+    rows = shared.select("bucket", "item")
+    for turn, deeper in enumerate(finer):
+        marked = rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
+        split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+        open_items = marked.join(split, "bucket", "left_semi").select("item", "label").distinct()
+        rows = written(items.join(open_items, "item").select("item", "label", F.explode(deeper(F.col("keys"))).alias("bucket")))
+        order = F.struct(F.xxhash64("item", F.lit(turn)), "item", "label")
+        hubs = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi").select("bucket", F.col("hub.item").alias("hub"), F.col("hub.label").alias("hub_label"))
+        pairs = rows.join(hubs, "bucket").filter("label <> hub_label").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
+        more = written(verify(written(pairs)))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        label = written(components(links))
+        rows = rows.select("bucket", "item")
+    return label

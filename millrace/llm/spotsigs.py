@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import written
-from .linking import grouped
+from .linking import crowded, grouped, joined_keys
 from .tokens import U64, Slice, distinct_in, hashes, bounds, mixed, slices
 
 #: Anchors: frequent function words of some languages, in lower case.
@@ -185,9 +185,9 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     width = math.log(1 / threshold)
     prefix = F.slice("sigs", F.lit(1), (F.size("sigs") - F.ceil(F.size("sigs") * threshold - 1e-9) + 1).cast("int"))
     part = F.floor(F.log(F.size("sigs").cast("double")) / width + 1e-9).cast("int")
-    keys = classes.select("rep", F.explode(prefix).alias("sig"), part.alias("p"))
-    buckets = keys.select(F.col("rep").alias("item"), "sig", F.explode(F.array("p", F.col("p") + 1)).alias("p"))
-    buckets = buckets.select(F.xxhash64("sig", "p").alias("bucket"), "item")
+    keys = F.flatten(F.transform(prefix, lambda sig: F.transform(F.array(part, part + 1), lambda p: F.xxhash64(sig, p))))
+    items = classes.select(F.col("rep").alias("item"), F.array_distinct(keys).alias("keys"))
+    shared = written(crowded(items, F.col("keys")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = classes.select(F.col("rep").alias("a"), F.col("sigs").alias("sa"))
@@ -196,6 +196,6 @@ def near_groups(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         both = F.size(F.array_intersect("sa", "sb"))
         return rows.filter(both >= threshold * (F.size("sa") + F.size("sb") - both) - 1e-9).select("a", "b")
 
-    found = grouped(buckets, lambda pairs: pairs.withColumn("weight", F.lit(0.0)), verify)
+    found = grouped(items, shared, [joined_keys(2)], verify)
     member = base.join(classes, "sigs", "left").select("doc_id", "rep")
     return member.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep", "doc_id").alias("component_id"))

@@ -180,15 +180,6 @@ def test_lines(spark, awkward):
     assert line_dedup.deduplicate_lines(empty(spark)).count() == 0
 
 
-def test_simhash_is_the_majority(spark):
-    line = "alpha bravo charlie delta echoes foxtrot golfing hotel indigo"
-    docs = spark.createDataFrame([(1, line)], "doc_id long, text string")
-    got = line_dedup.hashed_lines(docs).first()["simhash"]
-    hashes = [r[0] for r in spark.createDataFrame([(w,) for w in line.split()], "w string").select(F.xxhash64("w")).collect()]
-    want = sum(1 << b for b in range(60) if sum((h >> b) & 1 for h in hashes) * 2 > len(hashes))
-    assert got == want
-
-
 def test_equal_lines_go_once(documents, small):
     """Every removed line has an equal or similar one that stays; exact repeats all go but the first."""
     got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate_lines(documents).collect()}
@@ -446,23 +437,3 @@ def test_pipeline(spark):
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
     assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} == {"pipeline" if q == "pipeline" else re.match(r"op\d+_", q)[0] for q in registry.queries()}
-
-
-def test_prefix_pairs_lose_no_pair(spark):
-    """Random word sets around a few bases: every pair of different labels that may be linked is found, as by all pairs."""
-    import itertools
-    import random
-
-    from pyspark.sql import functions as F
-
-    from millrace.llm.linking import prefix_pairs
-
-    rng = random.Random(3)
-    bases = [[100 * b + i for i in range(20)] for b in range(4)]
-    sets = {n: {x if rng.random() < 0.9 else rng.randrange(10_000) for x in rng.choice(bases)[: rng.randint(8, 20)]} for n in range(120)}
-    rows = [(n, n % 90, len(s), x) for n, s in sets.items() for x in s]
-    overlap = F.expr("ceil(80 * (size_i + size_j) / 180 - 1e-9)")
-    found = prefix_pairs(spark.createDataFrame(rows, "item long, label long, size long, token long"), overlap, F.expr("ceil(80 * size / 100 - 1e-9)"))
-    got = {(r["i"], r["j"]) for r in found.collect()}
-    want = {(a, b) for a, b in itertools.combinations(sets, 2) if a % 90 != b % 90 and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert want and want <= got
