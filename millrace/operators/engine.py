@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions.formats import apply_format
 from ..functions.numbers import format_number, validator_number
-from ..functions.text import blank, or_blank, pad_left, strip
+from ..functions.text import blank, normalize, or_blank, pad_left, strip
 from . import rules as R
 
 HEADER_KEYS = ("po_number", "po_date", "requested_date", "brand_text", "order_text", "ship_to_text", "bill_to_text", "currency_text", "incoterms_text", "payment_terms_text", "packing_spec", "remark_default")
@@ -93,6 +93,12 @@ def message(template: str, scope: Scope) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def severity(miss: Mapping | None, test: Column) -> Column:
+    """Where test holds, the severity that on_no_match or on_many asks for: error, warn (also if it says nothing), or null."""
+    action = (miss or {}).get("action", "warn")
+    return F.when(test, action) if action in ("error", "warn") else F.lit(None).cast("string")
+
+
 def _kept(issues: list[Column]) -> Column:
     return F.filter(F.array(*issues), lambda x: x["code"].isNotNull()) if issues else F.array().cast(f"array<{ISSUE}>")
 
@@ -146,7 +152,7 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
     for n, table in enumerate(book.get("tables", [])):
         values, missed = R.decision_table(table, scope)
         rows = rows.withColumn(f"_t{n}", values)
-        names = list(dict.fromkeys(k for row in table["rows"] for k in row["set"]))
+        names = R.table_names(table)
         for k in names:
             (scope.named if k.startswith("_") else assigned)[k] = F.col(f"_t{n}")[k]
         miss = table.get("on_no_match", {"action": "warn"})
@@ -156,24 +162,38 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
     used = {s.get("rule") for s in book["fields"].values() if s.get("from") == "rule"} | {p.split(".")[0] for s in book["fields"].values() if s.get("from") == "expr" for p in X.paths(X.parse(s["expr"]))}
     references = book.get("references", {})
     for name, rule in book.get("rules", {}).items():
-        level = F.lit(None).cast("string")
+        level, said = F.lit(None).cast("string"), message((rule.get("on_no_match") or {}).get("message", name), scope)
         if rule["kind"] in R.COLUMN_RULES:
             value, level = R.on_miss(R.COLUMN_RULES[rule["kind"]](rule, scope), rule)
             rows = rows.withColumn(f"_r_{name}", value)
         elif rule["kind"] == "lookup":
-            rows = R.lookup(rows, references[rule["ref"]], R.source_of(rule, scope), rule["key_column"], rule["return"], f"_r_{name}")
+            key = or_blank(scope(rule["key"])) if "key" in rule and scope(rule["key"]) is not None else R.source_of(rule, scope) if "source" in rule else F.lit("")
+            rows = R.lookup(rows, references[rule["ref"]], key, rule["key_column"], rule["return"], f"_r_{name}")
+            level = severity(rule.get("on_no_match"), F.col(f"_r_{name}_missed"))
         elif rule["kind"] == "csv_choice":
             rows = R.csv_choice(rows, references[rule["ref"]], F.lit(str(scope.meta.get("customer_no", ""))), rule["filter_column"], rule["value_column"], f"_r_{name}")
-            level = F.when(F.col(f"_r_{name}_count") != 1, F.lit("warn"))
+            count = F.col(f"_r_{name}_count")
+            none, many = rule.get("on_no_match") or {}, rule.get("on_many") or {}
+            if none.get("action") == "default":
+                rows = rows.withColumn(f"_r_{name}", F.when(count == 0, F.lit(str(none.get("value", "")))).otherwise(F.col(f"_r_{name}")))
+            level = F.coalesce(severity(none, count == 0), severity(many, count > 1))
+            several = F.replace(F.lit(many.get("message", name)), F.lit("{count}"), count.cast("string"))
+            said = F.when(count == 0, message(none.get("message", name), scope)).otherwise(several)
         elif rule["kind"] == "csv_map":
-            rows = R.csv_map(rows, rule["entries"], R.source_of(rule, scope), f"_r_{name}", rule.get("longest_first", False), rule.get("mode") == "equals")
+            fold, longest = rule.get("case", "sensitive") == "insensitive", rule.get("longest_first", False)
+            if "entries" in rule:
+                rows = R.csv_map(rows, rule["entries"], R.source_of(rule, scope), f"_r_{name}", longest, rule.get("mode") == "equals", fold)
+            else:
+                source = normalize(R.source_of(rule, scope), rule.get("normalize", []))
+                rows = R.csv_map_table(rows, references[rule["ref"]], source, f"_r_{name}", rule["key_column"], rule["value_column"], rule.get("filter_column"), str(scope.meta.get("customer_no", "")), rule.get("mode_column"), longest, fold)
             value, level = R.on_miss(F.col(f"_r_{name}"), rule)
             rows = rows.withColumn(f"_r_{name}", value)
         else:
-            raise ValueError(f"unknown rule kind: {rule['kind']}")
+            level, said = F.lit("error"), F.lit(f"{name}: unknown kind {rule['kind']}")
+            rows = rows.withColumn(f"_r_{name}", F.lit(""))
         scope.named[name] = F.col(f"_r_{name}")
         if name in used:
-            keep([_when(level.isNotNull(), issue(rule.get("field", ""), level, "RULE_NO_MATCH", message(rule.get("on_no_match", {}).get("message", name), scope)))])
+            keep([_when(level.isNotNull(), issue(rule.get("field", ""), level, "RULE_NO_MATCH", said))])
 
     specs: Mapping[str, Mapping] = book["field_specs"]
     derived = []
@@ -228,18 +248,16 @@ def group_label(scope: Scope, path: str | None = None) -> Column:
 
 
 def recompute_derived(rows: DataFrame, book: Mapping, names: list[str], scope: Scope, manual: str | None = None) -> DataFrame:
-    """Fields whose expression reads other fields, again on live values, in field order. A failing expression or format keeps the old
+    """Fields whose expression reads other fields, again on live values, in field order; other paths are empty then, and there is no default. A failing expression or format keeps the old
     value; fields in the array column `manual` stay as they are."""
     for name in names:
         spec = book["fields"][name]
-        live = X.compile_expr(spec["expr"], lambda p: F.col(p[6:]) if p.startswith("field.") and p[6:] in rows.columns else scope(p))
+        live = X.compile_expr(spec["expr"], lambda p: F.col(p[6:]) if p.startswith("field.") and p[6:] in rows.columns else None)
         value = X.as_text(live)
         failed = live.error.isNotNull()
         if spec.get("format"):
-            value, bad = apply_format(spec["format"], value)
-            failed = failed | bad
-        if spec.get("default") is not None:
-            value = F.when(blank(value), F.lit(str(spec["default"]))).otherwise(value)
+            text, bad = apply_format(spec["format"], value)
+            value, failed = F.when(value == "", value).otherwise(text), failed | (bad & (value != ""))
         held = failed if manual is None else failed | F.array_contains(manual, name)
         rows = rows.withColumn(name, F.when(held, F.col(name)).otherwise(value))
     return rows
@@ -266,6 +284,8 @@ def shipment_total_match(rows: DataFrame, options: Mapping) -> DataFrame:
     """On every row of a split document, an issue if its quantities don't add up to the printed total. A quantity that can't be read, or
     no printed total, turns the check off."""
     field = options.get("field", "KWMENG")
+    if field not in rows.columns:
+        return rows
     whole = Window.partitionBy("doc_id")
     printed = format_number(F.col("totals.total_qty"))
     total = F.sum(format_number(F.col(field))).over(whole)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import summary_number, totals_number
-from ..functions.text import blank
+from ..functions.text import blank, strip
 
 
 def distribute_issues(rows: DataFrame, issues: DataFrame) -> DataFrame:
@@ -55,8 +55,11 @@ def merge_edits(rows: DataFrame, edits: DataFrame, fields: list[str], key: str =
 
 
 def bulk_fill(rows: DataFrame, field: str, value: str, blank_only: bool = True) -> DataFrame:
-    """One column set on blank (or all) live rows."""
-    hit = ~F.col("deleted") & ((F.trim(F.col(field)) == "") if blank_only else F.lit(True))
+    """One column set on blank (or all) live rows. Where rows have the array column `manual`, it tells that a person changed the field."""
+    hit = ~F.col("deleted") & (blank(strip(F.col(field))) if blank_only else F.lit(True))
+    if "manual" in rows.columns:
+        changed = hit & ~F.col(field).eqNullSafe(F.lit(value))
+        rows = rows.withColumn("manual", F.when(changed, F.array_union("manual", F.array(F.lit(field)))).otherwise(F.col("manual")))
     return rows.withColumn(field, F.when(hit, F.lit(value)).otherwise(F.col(field)))
 
 

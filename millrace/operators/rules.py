@@ -6,6 +6,7 @@ tables become equi-joins on de-duplicated keys.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -27,20 +28,25 @@ def source_of(spec: Mapping, resolve: Resolve) -> Column:
     return F.when(first != "", first).otherwise(or_blank(second) if second is not None else F.lit(""))
 
 
+def table_names(table: Mapping) -> list[str]:
+    """What a table sets, in order."""
+    return list(table.get("names") or dict.fromkeys(k for row in table["rows"] for k in row["set"]))
+
+
 def decision_table(table: Mapping, resolve: Resolve) -> tuple[Column, Column]:
     """(assignments, missed): a struct of the table's `set` columns, and whether no row matched.
 
     table: columns (source, op, normalize), rows (when: one needle for each column, '*' for any; set: values), on_no_match (action:
     default with values, empty, error or warn). Rows of another length than the columns are skipped.
     """
-    names = list(dict.fromkeys(k for row in table["rows"] for k in row["set"]))
+    names = table_names(table)
     sources = [normalize(source_of(c, resolve), c.get("normalize", [])) for c in table["columns"]]
     chain = None
     hit = F.lit(False)
     for row in table["rows"]:
         if len(row["when"]) != len(sources):
             continue
-        tests = [OPS[c.get("op", "contains_ci")](s, n) for c, s, n in zip(table["columns"], sources, row["when"], strict=True) if n != "*"]
+        tests = [OPS[c.get("op", "equals")](s, n) for c, s, n in zip(table["columns"], sources, row["when"], strict=True) if n != "*"]
         test = F.lit(True)
         for t in tests:
             test = test & t
@@ -54,10 +60,15 @@ def decision_table(table: Mapping, resolve: Resolve) -> tuple[Column, Column]:
     return nothing if chain is None else chain.otherwise(nothing), missed
 
 
+def folding(rule: Mapping) -> Callable[[Column], Column]:
+    """How texts are made ready to compare: as they are, or without case if the rule says so."""
+    return F.lower if rule.get("case", "sensitive") == "insensitive" else lambda c: c
+
+
 def keyword_map(rule: Mapping, resolve: Resolve) -> Column:
     """The value of the first entry whose keyword is in the source; null if none. An empty keyword matches all."""
     source = normalize(source_of(rule, resolve), rule.get("normalize", []))
-    fold = (lambda c: c) if rule.get("case", "insensitive") == "sensitive" else F.lower
+    fold = folding(rule)
     out = F.lit(None).cast("string")
     for entry in reversed(rule["map"]):
         out = F.when(F.contains(fold(source), fold(F.lit(entry["contains"]))), F.lit(str(entry["value"]))).otherwise(out)
@@ -67,17 +78,29 @@ def keyword_map(rule: Mapping, resolve: Resolve) -> Column:
 def value_map(rule: Mapping, resolve: Resolve) -> Column:
     """The value of the first entry that equals the source; null if none."""
     source = normalize(source_of(rule, resolve), rule.get("normalize", []))
+    fold = folding(rule)
     out = F.lit(None).cast("string")
     for entry in reversed(rule["map"]):
-        out = F.when(source == F.lit(str(entry["equals"])), F.lit(str(entry["value"]))).otherwise(out)
+        out = F.when(fold(source) == fold(F.lit(str(entry["equals"]))), F.lit(str(entry["value"]))).otherwise(out)
     return out
 
 
+def regex_problem(rule: Mapping) -> str:
+    """Why a pattern or its group can't be used; '' if they can."""
+    try:
+        group_number(rule["pattern"], rule.get("group", 0))
+    except (re.error, IndexError, KeyError, ValueError) as e:
+        return str(e) or type(e).__name__
+    return ""
+
+
 def regex_extract(rule: Mapping, resolve: Resolve) -> Column:
-    """A group of the first match, '' if the group took no part; null if nothing matches."""
-    source, pattern = source_of(rule, resolve), rule["pattern"]
+    """A group of the first match, '' if the group took no part; null if nothing matches, or if the pattern is wrong."""
+    if regex_problem(rule):
+        return F.lit(None).cast("string")
+    source, pattern = normalize(source_of(rule, resolve), rule.get("normalize", [])), rule["pattern"]
     java = java_regex(pattern)
-    return F.when(source.rlike(java), F.regexp_extract(source, java, group_number(pattern, rule.get("group", 1))))
+    return F.when(source.rlike(java), F.regexp_extract(source, java, group_number(pattern, rule.get("group", 0))))
 
 
 def fixed(rule: Mapping, resolve: Resolve) -> Column:
@@ -91,20 +114,22 @@ def on_miss(value: Column, rule: Mapping) -> tuple[Column, Column]:
     """(value, severity of the issue or null) after on_no_match: error, warn (default), default or empty."""
     miss = rule.get("on_no_match", {"action": "warn"})
     action = miss.get("action", "warn")
+    if rule.get("kind") == "regex_extract" and regex_problem(rule):
+        action = "error"
     filled = F.coalesce(value, F.lit(str(miss.get("value", "")) if action == "default" else ""))
     level = F.when(value.isNull(), F.lit(action)) if action in ("error", "warn") else F.lit(None).cast("string")
     return filled, level
 
 
 def lookup(rows: DataFrame, reference: DataFrame, key: Column, key_column: str, returns: list[str], name: str, order: str = "_ord") -> DataFrame:
-    """Adds struct `name` with the `returns` columns of the first reference row of that key; '' in all on a miss.
+    """Adds struct `name` with the `returns` columns of the first reference row of that key; '' in all on a miss, which `{name}_missed` tells.
 
     The key is compared exactly; a blank key never matches. The reference is reduced to one row a key before the join.
     """
     first = reference.filter(F.coalesce(F.col(key_column), F.lit("")) != "").groupBy(F.col(key_column).alias("_k")).agg(F.min_by(F.struct(*returns), order).alias("_v"))
     joined = rows.withColumn("_key", key).join(first, F.col("_key") == F.col("_k"), "left")
     values = F.struct(*[F.coalesce(F.col("_v")[c].cast("string"), F.lit("")).alias(c) for c in returns])
-    return joined.withColumn(name, values).drop("_key", "_k", "_v")
+    return joined.withColumn(name, values).withColumn(f"{name}_missed", F.col("_v").isNull()).drop("_key", "_k", "_v")
 
 
 def csv_choice(rows: DataFrame, reference: DataFrame, key: Column, filter_column: str, value_column: str, name: str, order: str = "_ord") -> DataFrame:
@@ -123,26 +148,44 @@ def field_choices(reference: DataFrame, filter_column: str, value_column: str, o
     return lists.select(filter_column, F.transform("c", lambda x: x["v"]).alias("choices")).filter(F.size("choices") > 1)
 
 
-def csv_map(rows: DataFrame, entries: list[tuple[str, str]], source: Column, name: str, longest_first: bool = False, equal: bool = False) -> DataFrame:
+def csv_map(rows: DataFrame, entries: list[tuple[str, str]], source: Column, name: str, longest_first: bool = False, equal: bool = False, insensitive: bool = True) -> DataFrame:
     """Adds `name`: the value of the first entry (needle, value) that the source holds, by file order or the longest first; null if none.
 
-    Blank needles are skipped. Entries are reference rows, so a rule book bounds them; beyond CHAIN_ROWS of them, distinct sources are
-    matched once each and joined back.
+    Blank needles are skipped. Entries stand in the rule book, which bounds them; beyond CHAIN_ROWS of them, they are matched as a table.
     """
     ordered = [(n, v) for n, v in entries if n.strip()]
+    if len(ordered) > CHAIN_ROWS:
+        table = rows.sparkSession.createDataFrame([(i, n, v) for i, (n, v) in enumerate(ordered)], "_ord int, needle string, value string")
+        return csv_map_table(rows, table, source, name, "needle", "value", longest_first=longest_first, insensitive=insensitive, equal=equal)
     if longest_first:
         ordered.sort(key=lambda e: -len(e[0]))
-    test = (lambda s, n: F.lower(s) == F.lower(F.lit(n))) if equal else (lambda s, n: F.contains(F.lower(s), F.lower(F.lit(n))))
-    if len(ordered) <= CHAIN_ROWS:
-        out = F.lit(None).cast("string")
-        for needle, value in reversed(ordered):
-            out = F.when(test(source, needle), F.lit(value)).otherwise(out)
-        return rows.withColumn(name, out)
-    table = F.array(*[F.struct(F.lower(F.lit(n)).alias("n"), F.lit(v).alias("v")) for n, v in ordered])
+    fold = F.lower if insensitive else lambda c: c
+    out = F.lit(None).cast("string")
+    for needle, value in reversed(ordered):
+        test = fold(source) == fold(F.lit(needle)) if equal else F.contains(fold(source), fold(F.lit(needle)))
+        out = F.when(test, F.lit(value)).otherwise(out)
+    return rows.withColumn(name, out)
+
+
+def csv_map_table(rows: DataFrame, reference: DataFrame, source: Column, name: str, key_column: str, value_column: str, filter_column: str | None = None, filter_value: str = "", mode_column: str | None = None, longest_first: bool = False, insensitive: bool = False, equal: bool = False, order: str = "_ord") -> DataFrame:
+    """Adds `name`: the value of the first reference row whose needle the source holds, or equals where mode_column says `equals`; null
+    if none. filter_column keeps the rows of one customer.
+
+    The rows that are left make one array, in their order; distinct sources are matched with it once each and joined back. Reference
+    tables are files kept by hand; one row of this array must fit a task.
+    """
+    mine = reference if filter_column is None else reference.filter(F.coalesce(F.col(filter_column), F.lit("")) == filter_value)
+    needle = F.coalesce(F.col(key_column), F.lit(""))
+    whole = F.lit(equal) if mode_column is None else F.col(mode_column) == "equals"
+    rank = -F.length(needle) if longest_first else F.lit(0)
+    entry = F.struct(rank.alias("r"), F.col(order).cast("long").alias("o"), needle.alias("n"), F.coalesce(whole, F.lit(False)).alias("w"), F.coalesce(value_column, F.lit("")).alias("v"))
+    table = mine.filter(needle != "").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
+    fold = F.lower if insensitive else lambda c: c
     keyed = rows.withColumn("_src", source)
-    match = F.filter(table, lambda e: (F.lower(F.col("_src")) == e["n"]) if equal else F.contains(F.lower(F.col("_src")), e["n"]))
-    found = keyed.select("_src").distinct().select("_src", F.get(match, F.lit(0))["v"].alias(name))
-    return keyed.join(found, keyed["_src"].eqNullSafe(found["_src"]), "left").drop("_src")
+    one = F.col("_one_src")
+    hits = F.filter("_entries", lambda e: F.when(e["w"], fold(one) == fold(e["n"])).otherwise(F.contains(fold(one), fold(e["n"]))))
+    found = keyed.select(F.col("_src").alias("_one_src")).distinct().crossJoin(F.broadcast(table)).select("_one_src", F.get(hits, F.lit(0))["v"].alias(name))
+    return keyed.join(found, keyed["_src"].eqNullSafe(found["_one_src"]), "left").drop("_src", "_one_src")
 
 
 def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -12,7 +12,7 @@ from .common import TIE, TIE_SQL, decimal, query, rows, table
 
 @query("""WITH lines AS (SELECT l_orderkey AS doc_id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS s, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY """ + TIE_SQL + """) AS n,
 printf('r_%04d', row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey, """ + TIE_SQL + """)) AS row_id FROM lineitem),
-i AS (SELECT event_id % 500 AS doc_id, CASE event_type WHEN 'click' THEN 'line' WHEN 'view' THEN 'line' WHEN 'error' THEN 'order' ELSE 'document' END AS scope, user_id % 4 + 1 AS s, event_id % 3 + 1 AS n, event_type AS code FROM events WHERE value < 20),
+i AS (SELECT event_id % 500 AS doc_id, CASE event_type WHEN 'click' THEN 'line' WHEN 'view' THEN 'line' WHEN 'error' THEN 'order' ELSE 'document' END AS scope, user_id % 4 + 1 AS s, event_id % 3 + 1 AS n, event_type AS code FROM events),
 a AS (SELECT DISTINCT doc_id, scope, s, n, code FROM i),
 h AS (SELECT a.doc_id, l.row_id, 'KWMENG' AS field, code FROM a JOIN lines l ON a.scope = 'line' AND a.doc_id = l.doc_id AND a.s = l.s AND a.n = l.n
 UNION ALL SELECT a.doc_id, l.row_id, '', code FROM a JOIN lines l ON a.scope = 'order' AND a.doc_id = l.doc_id AND a.s = l.s
@@ -29,7 +29,7 @@ def q_issue_distribution(spark, sf_dir):
     order = Window.partitionBy("l_orderkey").orderBy("ship_idx", "line_no")
     lines = lines.select(F.col("l_orderkey").alias("doc_id"), "ship_idx", "line_no", F.format_string("r_%04d", F.row_number().over(order)).alias("row_id"))
     kind = F.when(F.col("event_type").isin("click", "view"), "line").when(F.col("event_type") == "error", "order").otherwise("document")
-    issues = table(spark, sf_dir, "events").filter("value < 20").select((F.col("event_id") % 500).alias("doc_id"), kind.alias("scope"), (F.col("user_id") % 4 + 1).alias("ship_idx"), (F.col("event_id") % 3 + 1).alias("line_idx"), F.lit("KWMENG").alias("leaf"), F.lit("error").alias("severity"), F.col("event_type").alias("code")).distinct()
+    issues = table(spark, sf_dir, "events").select((F.col("event_id") % 500).alias("doc_id"), kind.alias("scope"), (F.col("user_id") % 4 + 1).alias("ship_idx"), (F.col("event_id") % 3 + 1).alias("line_idx"), F.lit("KWMENG").alias("leaf"), F.lit("error").alias("severity"), F.col("event_type").alias("code")).distinct()
     return review.distribute_issues(lines, issues).groupBy("doc_id", "row_id", "field", "code").agg(F.count("*").alias("times"))
 
 

@@ -91,7 +91,7 @@ CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'red') OR c
 def q_keyword_map(spark, sf_dir):
     """keyword_map with a warning on a miss."""
     p, scope = _part(spark, sf_dir)
-    rule = {"source": "line.description", "map": [{"contains": "RING", "value": "R"}, {"contains": "red", "value": "D"}, {"contains": "w", "value": "W"}]}
+    rule = {"source": "line.description", "case": "insensitive", "map": [{"contains": "RING", "value": "R"}, {"contains": "red", "value": "D"}, {"contains": "w", "value": "W"}]}
     code, level = rules.on_miss(rules.keyword_map(rule, scope), rule)
     return p.select("p_partkey", code.alias("code"), level.alias("level"))
 
@@ -254,7 +254,7 @@ BOOK = {
         }
     ],
     "rules": {
-        "brand_no": {"kind": "regex_extract", "source": "line.brand_text", "pattern": r"#(\d+)$", "field": "ZBRAND"},
+        "brand_no": {"kind": "regex_extract", "source": "line.brand_text", "pattern": r"#(\d+)$", "group": 1, "field": "ZBRAND"},
         "size": {"kind": "keyword_map", "source": "line.description", "map": [{"contains": "small", "value": "S"}, {"contains": "big", "value": "L"}], "on_no_match": {"action": "default", "value": "M"}},
     },
     "fields": {

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import yaml
@@ -15,8 +15,8 @@ from ..operators.review import stale_status
 from .html import decode_html, html_text
 
 KINDS = ("pdf", "htm", "html")
-#: Sections whose entries are replaced as a whole when rule books are merged.
-ATOMIC = ("fields", "tables", "rules", "field_specs")
+# Sections whose entries are replaced as a whole when rule books are merged.
+ENTRIES = ("fields", "tables", "rules", "field_specs")
 TEXT_CHARS_A_PAGE = 40
 
 
@@ -61,14 +61,30 @@ def read_export(spark: SparkSession, path: str, required: tuple[str, ...] = ("ku
     return df.filter(" AND ".join(f"{c} <> ''" for c in required))
 
 
-def merge_books(base: Mapping, own: Mapping, depth: int = 0) -> dict:
-    """Key by key; lists, and entries of fields, tables, rules and field_specs, are replaced as a whole."""
-    out = dict(base)
-    for k, v in own.items():
-        if isinstance(v, Mapping) and isinstance(out.get(k), Mapping):
-            out[k] = {**out[k], **v} if depth == 0 and k in ATOMIC else merge_books(out[k], v, depth + 1)
-        else:
-            out[k] = v
+def _leaves(book: Mapping, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], object]]:
+    """The paths of a book with their values. Entries of ENTRIES count as values, mappings though they are."""
+    for key, value in book.items():
+        at = (*path, key)
+        inner = isinstance(value, Mapping) and value and not (len(at) == 2 and path[0] in ENTRIES)
+        yield from _leaves(value, at) if inner else [(at, value)]
+
+
+def merge_books(base: Mapping, own: Mapping) -> dict:
+    """The values of both books by path, own ones winning: lists, and entries of ENTRIES, are replaced as a whole."""
+    values = dict(_leaves(base))
+    for at, value in _leaves(own):
+        below = [p for p in values if p[: len(at)] == at and p != at]
+        if below and isinstance(value, Mapping) and not value:
+            continue
+        for p in [*below, *(at[:n] for n in range(1, len(at)))]:
+            values.pop(p, None)
+        values[at] = value
+    out: dict = {}
+    for (*path, key), value in values.items():
+        inner = out
+        for step in path:
+            inner = inner.setdefault(step, {})
+        inner[key] = value
     return out
 
 

@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     def cell(x):
-        if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+        if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
             return ""
         return str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
