@@ -14,26 +14,30 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+#: Edges up to which they are held in one partition, where no step needs a shuffle (16 bytes each).
+ONE_TASK = 500_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge (a, b), long; component is the smallest node reachable.
 
     Large-star and small-star steps in turn (Kiveris et al., 2014), each written out, until nothing changes. Loops and repeated edges
-    do no harm; nulls are left out.
+    do no harm; nulls are left out. Up to ONE_TASK edges, as counted, steps run in one task each: same steps, no shuffles.
     """
-    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    now = written(now)
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if state == seen or not state["n"]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = state
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        now = now.coalesce(1) if state["n"] <= ONE_TASK else now
+        both = now.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = written(least.select("a", F.col("m").alias("b")).unionByName(small).distinct())
+        pair = F.when(F.col("b") == F.col("m"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+        now = written(large.join(least, "a").select(pair.alias("e")).select("e.*").distinct())
 
 
 def joined_keys(m: int):
@@ -69,11 +73,10 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
     ranked = shared.join(central, "item").select("bucket", "item", "met")
     hubs = ranked.groupBy("bucket").agg(F.max_by("item", F.struct("met", F.col("item"))).alias("hub"))
     pairs = shared.join(hubs, "bucket").filter("item <> hub").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
-    links = written(verify(written(pairs)))
-    label = written(components(links))
+    label = written(components(verify(written(pairs))))
     rows = shared.select("bucket", "item")
     for turn, deeper in enumerate(finer):
-        marked = rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label"))
+        marked = written(rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label")))
         split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
         open_items = marked.join(split, "bucket", "left_semi").select("item", "label").distinct()
         rows = written(items.join(open_items, "item").select("item", "label", F.explode(deeper(F.col("keys"))).alias("bucket")))
@@ -83,7 +86,6 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
         more = written(verify(written(pairs)))
         if more.isEmpty():
             break
-        links = links.unionByName(more)
-        label = written(components(links))
+        label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         rows = rows.select("bucket", "item")
     return label
