@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import written
 from .tokens import U64, mixed, slices
 
 DEPTH = 13
@@ -245,7 +245,7 @@ def deduplicate_substrings(docs: DataFrame, depth: int = DEPTH, subtree: int = S
     counts as empty; rows with a null doc_id lose nothing.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    places = written(repeated_passages(docs, depth, subtree))
-    size = places.agg(F.sum(F.size("places") * 4 + 16).alias("b")).first()["b"] or 0
-    joined = attach(rows, places, ["doc_id"], "left", row_bytes=max(1, -(-size // max(1, places.count()))))
+    # Both sides are shuffled at every size, so that what a small run needs tells what a large one does.
+    places = repeated_passages(docs, depth, subtree).hint("shuffle_merge")
+    joined = rows.join(places, "doc_id", "left")
     return joined.select("doc_id", "text", "places").mapInArrow(_cut(depth), "doc_id long, n_words long, n_removed long, kept string")
