@@ -201,26 +201,42 @@ def places(template: list[int], name: str) -> list[list[list[int]]]:
     return out
 
 
+def holders(part: Slice, words: list[int], seen: dict[int, np.ndarray]) -> np.ndarray:
+    """Which texts of a slice have all the words. seen: what is known of single words of this slice."""
+    all_of = part.count > 0
+    for w in words:
+        if w not in seen:
+            seen[w] = np.zeros(part.texts, dtype=bool)
+            seen[w][part.doc[part.hash == np.uint64(w)]] = True
+        all_of = all_of & seen[w]
+    return all_of
+
+
 def matches(part: Slice, templates: list[tuple[str, np.ndarray, list[list[list[int]]]]], coverage: float) -> list[list[dict]]:
     """For each text of a slice, its matches by place: license, coverage, likeness, first and end word."""
     out: list[list[dict]] = [[] for _ in range(part.texts)]
-    last = (part.first + part.count)[part.doc] if len(part.hash) else np.zeros(0, dtype=np.int64)
-    most = int(part.count.max(initial=0))
+    seen: dict[int, np.ndarray] = {}
     for name, template, keys in templates:
         n, wanted = len(template), template.tolist()
-        if most < coverage * n - 1e-9:
+        # The words of its phrases are needed in any case, so texts that lack one can't match.
+        able = holders(part, sorted({wanted[j] for spots in keys for j in spots[0]}), seen) & (part.count >= coverage * n - 1e-9)
+        if not able.any():
             continue
-        for at in windows(part.hash, np.unique(template), last, n, coverage).tolist():
-            doc = int(part.doc[at])
-            pairs = aligned(part.hash[at : min(at + int(n * STRETCH), int(last[at]))].tolist(), wanted)
+        chosen = able[part.doc]
+        words, doc = part.hash[chosen], part.doc[chosen]
+        count = np.where(able, part.count, 0)
+        first_of = np.cumsum(count) - count
+        last = (first_of + count)[doc]
+        for at in windows(words, np.unique(template), last, n, coverage).tolist():
+            pairs = aligned(words[at : min(at + int(n * STRETCH), int(last[at]))].tolist(), wanted)
             if len(pairs) < coverage * n - 1e-9:
                 continue
             of = {j: i for i, j in pairs}
             if not all(any(all(j in of and of[j] - j == of[key[0]] - key[0] for j in key) for key in spots) for spots in keys):
                 continue
             first, end = at + pairs[0][0], at + pairs[-1][0] + 1
-            start = int(part.first[doc])
-            out[doc].append({"license": name, "coverage": len(pairs) / n, "likeness": 2 * len(pairs) / (n + end - first), "words": n, "start": first - start, "end": end - start})
+            start = int(first_of[doc[at]])
+            out[int(doc[at])].append({"license": name, "coverage": len(pairs) / n, "likeness": 2 * len(pairs) / (n + end - first), "words": n, "start": first - start, "end": end - start})
     for doc, found in enumerate(out):
         found = [m for m in found if not any(k["words"] >= 2 * m["words"] and k["start"] <= m["start"] and m["end"] <= k["end"] for k in found)]
         kept: list[dict] = []
