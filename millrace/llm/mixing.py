@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import attach, written
+from .common import attach, fresh, written
 
 SHARDS = 16
 BLOCKS = 1 << 14
@@ -113,14 +113,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shards: int = SHA
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: how many words the mix takes of each document, counted from its placed occurrences."""
+    """doc_id, size, source_size, target, taken: how many words the mix takes of each document, counted from its placed occurrences; then
+    shard, place (of the block in the shard) and slot (in the block) of the first of them, null if it takes none."""
     drawn, placed = mix(sized(docs), weights, **options)
-    taken = placed.groupBy("doc_id", "source", "size").agg(F.sum("words").alias("_taken"))
+    taken = placed.groupBy("doc_id", "source", "size").agg(F.sum("words").alias("_taken"), F.min(F.struct("shard", "place", "slot")).alias("_first"))
     rows = drawn.groupBy("doc_id", "source", "size", "source_size", "target").agg(F.count("*").alias("rows"))
     on = [rows[c].eqNullSafe(taken[c]) for c in ("doc_id", "source", "size")]
-    out = rows.join(taken, on, "left").select(rows["doc_id"], rows["size"], "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("_taken"), "rows")
+    out = rows.join(taken, on, "left").select(rows["doc_id"], rows["size"], "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("_taken"), "_first.*", "rows")
     # Rows that repeat share what was taken of them.
-    return out.select("doc_id", "size", "source_size", "target", F.floor(F.col("_taken") / F.col("rows")).alias("taken"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_i")).drop("_i")
+    each = F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_i")
+    return out.select("doc_id", "size", "source_size", "target", F.floor(F.col("_taken") / F.col("rows")).alias("taken"), "shard", "place", "slot", each).drop("_i")
 
 
 def first_words(text: Column, n: Column) -> Column:
@@ -130,20 +132,22 @@ def first_words(text: Column, n: Column) -> Column:
 
 
 def mix_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), **options) -> DataFrame:
-    """docs as the mix takes them: each row as often as it is drawn, with its columns as they were; where the mix takes a part, text is
-    that part. Rows that repeat a doc_id are taken as the most drawn of them; rows with a null doc_id are taken each on its own."""
-    same = Window.partitionBy("_hash").orderBy("text")
-    unnamed = docs.filter("doc_id IS NULL").withColumn("_hash", F.xxhash64("source", "text")).withColumn("_nth", F.row_number().over(same))
+    """docs as the mix takes them: each row as often as it is drawn, with its columns as they were, of any name; where the mix takes a
+    part, text is that part. Rows that repeat a doc_id are taken as the most drawn of them; rows with a null doc_id are taken each on
+    its own."""
+    row_id, row_hash, nth, parts, length, take = (fresh(docs, n) for n in ("row_id", "row_hash", "row_nth", "row_parts", "row_length", "row_take"))
+    same = Window.partitionBy(row_hash).orderBy("text")
+    unnamed = docs.filter("doc_id IS NULL").withColumn(row_hash, F.xxhash64("source", "text")).withColumn(nth, F.row_number().over(same))
     named = docs.filter("doc_id IS NOT NULL")
-    no = {"_hash": F.lit(None).cast("long"), "_nth": F.lit(None).cast("int")}
-    keys = ("_hash", "_nth")
+    keys = (row_hash, nth)
+    no = {row_hash: F.lit(None).cast("long"), nth: F.lit(None).cast("int")}
     _, placed = mix(sized(named).withColumns(no).unionByName(sized(unnamed, keys)), weights, **options)
     placed = written(placed.select("doc_id", *keys, "size", "words"))
-    taken = placed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id"), "size").agg(F.collect_list("words").alias("_words"))
-    taken = written(taken.groupBy("_id").agg(F.max_by("_words", F.size("_words")).alias("_words"), F.first("size").alias("_size")))
-    rows = attach(named.withColumn("_id", F.col("doc_id").cast("long")), taken, ["_id"], "inner", row_bytes=48)
-    alone = placed.filter("doc_id IS NULL").groupBy(*keys).agg(F.collect_list("words").alias("_words"), F.first("size").alias("_size"))
-    rows = rows.drop("_id").unionByName(unnamed.join(alone, list(keys)).drop(*keys))
-    rows = rows.withColumn("_take", F.explode("_words"))
-    text = F.when(F.col("_take") < F.col("_size"), first_words(F.col("text"), F.col("_take").cast("int"))).otherwise(F.col("text"))
-    return rows.withColumn("text", text).select(*docs.columns)
+    taken = placed.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(row_id), "size").agg(F.collect_list("words").alias(parts))
+    taken = written(taken.groupBy(row_id).agg(F.max_by(parts, F.size(parts)).alias(parts), F.first("size").alias(length)))
+    rows = attach(named.withColumn(row_id, F.col("doc_id").cast("long")), taken, [row_id], "inner", row_bytes=48)
+    alone = placed.filter("doc_id IS NULL").groupBy(*keys).agg(F.collect_list("words").alias(parts), F.first("size").alias(length))
+    rows = rows.drop(row_id).unionByName(unnamed.join(alone, list(keys)).drop(*keys))
+    rows = rows.withColumn(take, F.explode(parts))
+    text = F.when(F.col(take) < F.col(length), first_words(F.col("text"), F.col(take).cast("int"))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(*(f"`{c}`" for c in docs.columns))

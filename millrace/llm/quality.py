@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .tokens import distinct_in, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -114,13 +115,13 @@ def judge_quality(docs: DataFrame, rules: Bands = Bands()) -> DataFrame:
 
 
 def keep_quality(docs: DataFrame, rules: Bands = Bands()) -> DataFrame:
-    """The rows of docs that pass, with their columns as they were."""
+    """The rows of docs that pass, with their columns as they were, of any name."""
     judge = _judge(rules)
-    names = docs.columns
+    names, helpers = docs.columns, [fresh(docs, "row_id"), fresh(docs, "row_text")]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            verdict = next(judge(iter([batch.select(["_id", "_text"]).rename_columns(["doc_id", "text"])])))
+            verdict = next(judge(iter([batch.select(helpers).rename_columns(["doc_id", "text"])])))
             yield batch.select(names).filter(verdict.column("kept"))
 
-    return docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).mapInArrow(keep, docs.schema)
+    return docs.select("*", F.col("doc_id").cast("long").alias(helpers[0]), F.col("text").alias(helpers[1])).mapInArrow(keep, docs.schema)
