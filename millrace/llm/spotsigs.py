@@ -32,6 +32,8 @@ ANCHORS = tuple(
 )
 CHAIN = 2
 BUCKET_ROWS = 2_000
+#: Buckets are no more than that, however many rows there are, so that their edges fit the driver and a broadcast.
+MOST_BUCKETS = 1 << 16
 #: ASCII letters in lower case; other ASCII characters part words.
 _FOLD = bytes(32 if c < 128 and not chr(c).isalpha() else (c + 32 if 65 <= c <= 90 else c) for c in range(256))
 
@@ -147,7 +149,7 @@ def fingerprint_edits(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFr
     lowest = -(1 << 63)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_id", F.coalesce("doc_id", F.lit(lowest)))
     total = docs.count()
-    n = max(1, total // bucket_rows)
+    n = min(MOST_BUCKETS, max(1, total // bucket_rows))
     shares = [i / n for i in range(1, n)]
     edges = (rows.agg(F.percentile_approx("_id", shares, 10_000).alias("e")).first()["e"] or []) if shares else []
     bounds_desc = np.array(sorted(set(edges)), dtype=np.int64)
