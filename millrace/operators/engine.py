@@ -107,24 +107,20 @@ def _when(test: Column, what: Column) -> Column:
     return F.when(test, what).otherwise(F.lit(None).cast(ISSUE))
 
 
-def render(rows: DataFrame, name: str, value: Column, spec: Mapping, scope: Scope) -> tuple[DataFrame, list[Column]]:
-    """Adds a field: value, then fallback if blank, then format, then default if blank. A failed format keeps the text, and skips the
-    default. Each step is a column of its own, as later steps use it more than once."""
-    issues: list[Column] = []
-    rows = rows.withColumn(name, value)
-    if spec.get("fallback"):
-        other = scope(spec["fallback"])
-        rows = rows.withColumn(name, F.when(blank(F.col(name)), or_blank(other) if other is not None else F.lit("")).otherwise(F.col(name)))
-    free = blank(F.col(name))
-    if spec.get("format"):
-        text, failed = apply_format(spec["format"], F.col(name))
-        rows = rows.withColumn(f"_f_{name}", F.struct(text.alias("text"), failed.alias("failed")))
-        rows = rows.withColumn(name, F.col(f"_f_{name}.text"))
-        issues.append(_when(F.col(f"_f_{name}.failed"), issue(name, "error", "FORMAT_ERROR", F.concat(F.lit(f"{spec['format']}: "), F.col(name)))))
-        free = free & ~F.col(f"_f_{name}.failed")
-    if spec.get("default") is not None:
-        rows = rows.withColumn(name, F.when(free, F.lit(str(spec["default"]))).otherwise(F.col(name)))
-    return rows, issues
+def render(rows: DataFrame, values: Mapping[str, Column], specs: Mapping[str, Mapping], scope: Scope) -> tuple[DataFrame, dict[str, Column]]:
+    """Adds fields, and tells the issue of each whose format failed: value, then fallback if blank, then format, then default if blank. A
+    failed format keeps the text, and skips the default. All fields go through a step together, as later steps use it more than once."""
+    other = lambda path: or_blank(scope(path)) if scope(path) is not None else F.lit("")
+    have = lambda key: [n for n in values if specs[n].get(key) is not None]
+    rows = rows.withColumns(dict(values))
+    rows = rows.withColumns({n: F.when(blank(F.col(n)), other(specs[n]["fallback"])).otherwise(F.col(n)) for n in have("fallback") if specs[n]["fallback"]})
+    formats = [n for n in have("format") if specs[n]["format"]]
+    rows = rows.withColumns({f"_f_{n}": F.struct(*(c.alias(a) for c, a in zip(apply_format(specs[n]["format"], F.col(n)), ("text", "failed"), strict=True))) for n in formats})
+    rows = rows.withColumns({n: F.col(f"_f_{n}.text") for n in formats})
+    free = lambda n: blank(F.col(n)) & ~F.col(f"_f_{n}.failed") if n in formats else blank(F.col(n))
+    rows = rows.withColumns({n: F.when(free(n), F.lit(str(specs[n]["default"]))).otherwise(F.col(n)) for n in have("default")})
+    failed = lambda n: issue(n, "error", "FORMAT_ERROR", F.concat(F.lit(f"{specs[n]['format']}: "), F.col(n)))
+    return rows, {n: _when(F.col(f"_f_{n}.failed"), failed(n)) for n in formats}
 
 
 def build(documents: DataFrame, book: Mapping) -> DataFrame:
@@ -144,9 +140,9 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
 
     def keep(issues: list[Column]) -> None:
         nonlocal rows
-        if issues:
-            found.append(f"_i{len(found)}")
-            rows = rows.withColumn(found[-1], _kept(issues))
+        names = [f"_i{len(found) + i}" for i in range(len(issues))]
+        found.extend(names)
+        rows = rows.withColumns(dict(zip(names, issues, strict=True)))
 
     assigned: dict[str, Column] = {}
     for n, table in enumerate(book.get("tables", [])):
@@ -196,14 +192,13 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
             keep([_when(level.isNotNull(), issue(rule.get("field", ""), level, "RULE_NO_MATCH", said))])
 
     specs: Mapping[str, Mapping] = book["field_specs"]
-    derived = []
+    derived, values, early = [], {}, {}
     for name in specs:
         spec = book["fields"].get(name)
         if spec is None:
-            rows = rows.withColumn(name, F.lit(""))
-            keep([issue(name, "error", "FIELD_NOT_DECLARED", name)])
+            values[name], early[name] = F.lit(""), issue(name, "error", "FIELD_NOT_DECLARED", name)
             continue
-        kind, issues = spec["from"], []
+        kind = spec["from"]
         if kind == "const":
             value = F.lit(str(spec["value"]))
         elif kind == "base":
@@ -223,12 +218,12 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
                 derived.append(name)
             compiled = X.compile_expr(spec["expr"], lambda p: F.lit("") if p.startswith("field.") else scope(p))
             value = F.when(compiled.error.isNull(), X.as_text(compiled)).otherwise(F.lit(""))
-            issues.append(_when(compiled.error.isNotNull(), issue(name, "error", "EXPR_ERROR", compiled.error)))
-        rows, more = render(rows, name, value, spec, scope)
-        keep(issues + more)
+            early[name] = _when(compiled.error.isNotNull(), issue(name, "error", "EXPR_ERROR", compiled.error))
+        values[name] = value
+    rows, late = render(rows, values, {n: book["fields"].get(n, {}) for n in specs}, scope)
+    keep([issues[n] for n in specs for issues in (early, late) if n in issues])
     rows = recompute_derived(rows, book, derived, scope)
-    rows = rows.withColumn("_rowv", _kept(row_validation(specs)))
-    rows = rows.withColumn("issues", F.concat(*[F.col(c) for c in found], F.col("_rowv")))
+    rows = rows.withColumn("issues", _kept([*map(F.col, found), *row_validation(specs)]))
 
     rows = rows.withColumn("group", group_label(scope, book.get("split", {}).get("group_label")))
     order = Window.partitionBy("doc_id").orderBy("ship_idx", "line_no")
