@@ -53,37 +53,43 @@ def joined_keys(m: int):
     return keys
 
 
-def crowded(items: DataFrame, keys: Column) -> DataFrame:
-    """(bucket, item, n): the keys of each item that n > 1 items have. Keys of an item are distinct."""
-    rows = items.select("item", F.explode(keys).alias("bucket"))
+def crowded(items: DataFrame, keys: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(bucket, item, n) and the columns to keep: the keys of each item that n > 1 items have. Keys of an item are distinct."""
+    rows = items.select("item", *keep, F.explode(keys).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    return rows.join(counts, "bucket").select("bucket", "item", "n")
+    return rows.join(counts, "bucket").select("bucket", "item", *keep, "n")
 
 
-def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _with_hubs(rows: DataFrame, hubs: DataFrame, differ: str, alike: Column) -> DataFrame:
+    """(a, b): the items of each bucket with its hub."""
+    found = rows.join(hubs, "bucket").filter(F.expr(differ) & alike)
+    return found.select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b")).distinct()
+
+
+def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = (), alike: Column | None = None) -> DataFrame:
     """(node, component) of items that are linked; items that are linked with nothing may be absent.
 
-    items: (item, keys), the keys of each item as an array of distinct longs. shared: the written crowded() of these keys. finer: from the
-    keys, those of each further level. verify: takes candidate pairs (a, b), returns those that are linked.
+    items: (item, keys) and the columns to keep, the keys of each item as an array of distinct longs. shared: the written crowded() of
+    these keys. finer: from the keys, those of each further level. verify: takes candidate pairs (a, b), returns those that are linked.
+    alike: from the kept columns of an item and of `hub`, whether the two are worth a look.
 
     The hub of a first bucket is the item that shares its buckets with the most others, the likeliest to be what copies come from; that
     of a finer bucket any one, by hash. A link is found if both of its items are linked with a common hub, or if one is the hub.
     """
+    alike = F.lit(True) if alike is None else alike
     central = shared.groupBy("item").agg(F.sum("n").alias("met"))
-    ranked = shared.join(central, "item").select("bucket", "item", "met")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("item", F.struct("met", F.col("item"))).alias("hub"))
-    pairs = shared.join(hubs, "bucket").filter("item <> hub").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
-    label = written(components(verify(written(pairs))))
+    ranked = shared.join(central, "item")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("met", "item", *keep)).alias("hub"))
+    label = written(components(verify(written(_with_hubs(shared, hubs, "item <> hub.item", alike)))))
     rows = shared.select("bucket", "item")
     for turn, deeper in enumerate(finer):
         marked = written(rows.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label")))
         split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
         open_items = marked.join(split, "bucket", "left_semi").select("item", "label").distinct()
-        rows = written(items.join(open_items, "item").select("item", "label", F.explode(deeper(F.col("keys"))).alias("bucket")))
-        order = F.struct(F.xxhash64("item", F.lit(turn)), "item", "label")
-        hubs = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi").select("bucket", F.col("hub.item").alias("hub"), F.col("hub.label").alias("hub_label"))
-        pairs = rows.join(hubs, "bucket").filter("label <> hub_label").select(F.least("item", "hub").alias("a"), F.greatest("item", "hub").alias("b")).distinct()
-        more = written(verify(written(pairs)))
+        rows = written(items.join(open_items, "item").select("item", *keep, "label", F.explode(deeper(F.col("keys"))).alias("bucket")))
+        order = F.struct(F.xxhash64("item", F.lit(turn)), "item", *keep, "label")
+        hubs = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi").select("bucket", "hub")
+        more = written(verify(written(_with_hubs(rows, hubs, "label <> hub.label", alike))))
         if more.isEmpty():
             break
         label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
