@@ -42,7 +42,7 @@ class Call:
     args: tuple
 
 
-# name: (least arguments, most, result, argument kinds; the last repeats)
+# The language's functions, and its escapes below. name: (least arguments, most, result, argument kinds; the last repeats)
 FUNCTIONS: dict[str, tuple[int, int | None, str, tuple[str, ...]]] = {
     "concat": (1, None, "text", ("any",)),
     "join": (2, 2, "text", ("text", "list")),
@@ -61,13 +61,15 @@ FUNCTIONS: dict[str, tuple[int, int | None, str, tuple[str, ...]]] = {
     "decimal3": (1, 1, "text", ("any",)),
     "date_yyyymmdd": (1, 1, "text", ("any",)),
 }
-_TOKEN = re.compile(r"""\s*(?:(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[^\W\d]\w*(?:\.\w+)*)|(?P<mark>[\[\](),]))""")
-_ESCAPES = {"\\": "\\", '"': '"', "'": "'", "n": "\n"}
+_TOKEN = re.compile(r"""[ \t]*(?:(?P<text>"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|(?P<num>-?\d+(?:\.\d+)?)|(?P<name>[A-Za-z_][A-Za-z0-9_]*(?:[ \t]*\.[ \t]*[A-Za-z_][A-Za-z0-9_]*)*)|(?P<mark>[\[\](),]))""")
+_ESCAPES = {"\\": "\\", '"': '"', "'": "'"}
 
 
 def _tokens(source: str) -> list[tuple[str, str]]:
+    if "\n" in source or "\r" in source:
+        raise ExprError("an expression is one line")
     out, at = [], 0
-    while source[at:].strip():
+    while source[at:].strip(" \t"):
         m = _TOKEN.match(source, at)
         if not m:
             raise ExprError(f"can't read {source[at:]!r}")
@@ -103,10 +105,11 @@ def parse(source: str):
         items = []
         while at < len(tokens) and tokens[at][1] != end:
             items.append(value())
-            if at < len(tokens) and tokens[at][1] == ",":
-                take(",")
-            else:
+            if at == len(tokens) or tokens[at][1] != ",":
                 break
+            take(",")
+            if at < len(tokens) and tokens[at][1] == end:
+                raise ExprError(f"a value expected before {end}")
         take(end)
         return tuple(items)
 
@@ -125,7 +128,10 @@ def parse(source: str):
         if at < len(tokens) and tokens[at][1] == "(":
             take("(")
             return Call(token, several(")"))
-        return Path(token)
+        steps = [step.strip(" \t") for step in token.split(".")]
+        if steps[0] in ("true", "false", "null"):
+            raise ExprError(f"{steps[0]} is no path")
+        return Path(".".join(steps))
 
     tree = value()
     if at < len(tokens):
@@ -239,6 +245,8 @@ def _compile(node, resolve) -> Value:
     error = _first_error(*args)
     text = [as_text(v) if v.kind != "list" else None for v in args]
     if name == "concat":
+        if None in text:
+            raise ExprError("concat takes texts, not lists")
         return Value(F.concat(*text), error, "text")
     if name == "join":
         return Value(F.array_join(F.transform(args[1].column, lambda x: F.coalesce(x, F.lit(""))), _literal(node.args[0])), error, "text")

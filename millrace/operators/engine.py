@@ -17,6 +17,7 @@ from ..functions.numbers import format_number, validator_number
 from ..functions.text import blank, normalize, or_blank, pad_left, strip
 from . import rules as R
 
+# The vocabulary of extractions.
 HEADER_KEYS = ("po_number", "po_date", "requested_date", "brand_text", "order_text", "ship_to_text", "bill_to_text", "currency_text", "incoterms_text", "payment_terms_text", "packing_spec", "remark_default")
 SHIPMENT_KEYS = ("shipment_no", "receiving_loc", "ship_to_text", "ship_by_text", "remark")
 LINE_KEYS = ("posex", "our_item", "item_code", "description", "quantity", "unit", "unit_price", "net_value", "delivery_date", "ship_to_text", "brand_text", "remark")

@@ -108,3 +108,17 @@ def test_dates_and_numbers_in_lines(spark):
     ]
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", anchor(F.col("a"), F.col("b")).alias("r")).orderBy("i").collect()
     assert [(cases[r["i"]][:2], r["r"]) for r in rows] == [((a, b), w) for a, b, w in cases]
+
+
+@pytest.mark.parametrize("source", ["concat('a',)", "[1,]", "null.x", "a\nb", "'a\\n'", "a.", "", "a b", "f(", "concat('a', ['b'])"])
+def test_expressions_that_are_refused(spark, source):
+    from millrace.functions import expr
+
+    with pytest.raises(expr.ExprError):
+        expr.compile_expr(source, lambda path: None)
+
+
+def test_blanks_around_dots():
+    from millrace.functions import expr
+
+    assert expr.paths(expr.parse("concat(header . x,\tline.y)")) == ["header.x", "line.y"]
