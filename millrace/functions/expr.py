@@ -245,7 +245,7 @@ def _compile(node, resolve) -> Value:
     error = _first_error(*args)
     text = [as_text(v) if v.kind != "list" else None for v in args]
     if name == "concat":
-        if None in text:
+        if any(t is None for t in text):
             raise ExprError("concat takes texts, not lists")
         return Value(F.concat(*text), error, "text")
     if name == "join":
