@@ -41,14 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined_keys(m: int):
-    """Finer keys: every m of an item's keys together."""
+    """Finer keys: each of an item's keys with the m - 1 that follow it, in a ring; as many as there are keys."""
 
     def keys(own: Column) -> Column:
-        found = F.transform(own, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
-        for _ in range(m - 1):
-            found = F.flatten(F.transform(found, lambda c: F.transform(F.sequence(c["i"] + 1, F.size(own)), lambda j: F.struct(F.xxhash64(c["h"], F.get(own, j)).alias("h"), j.alias("i")))))
-            found = F.filter(found, lambda c: c["i"] < F.size(own))
-        return F.array_distinct(F.transform(found, lambda c: c["h"]))
+        ring = F.concat(own, F.slice(own, 1, m - 1))
+        return F.transform(own, lambda x, i: F.xxhash64(*(F.get(ring, i + j) for j in range(m))))
 
     return keys
 
