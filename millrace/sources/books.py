@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import yaml
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .readers import load_book
 
 # What a rule book may say where the engine has a word of its own.
 CASE = {True: "insensitive", False: "sensitive"}
@@ -29,7 +33,7 @@ def written_rule(rule: Mapping) -> dict:
     out["longest_first"] = rule.get("order") == "longest_first"
     if rule.get("kind") in ENTRY_KINDS:
         key = "contains" if rule["kind"] == "keyword_map" else "equals"
-        out["map"] = [{key: str(e[key]), "value": str(e.get("value", ""))} for e in rule.get("entries") or [] if key in e]
+        out["map"] = [{key: str(e[key]), "value": str(e.get("value", ""))} | ({"todo": e["todo"]} if e.get("todo") else {}) for e in rule.get("entries") or [] if key in e]
     if rule.get("table_file"):
         out["ref"] = str(rule["table_file"])
     return out
@@ -56,3 +60,15 @@ def written_book(book: Mapping, reference: Callable[[str, bool], DataFrame]) ->
 
 # What a field says about its value's checks; the engine has them with the field's specification.
 CHECKED = ("required", "required_unless", "nonzero")
+
+
+def generic_book(texts: Mapping[str, str], customer: str, brands: DataFrame, extends: list[str]) -> dict:
+    """The rule book of a customer that has none of its own but has brands (kunnr, name1, _ord): the books in `extends`, under the first
+    name that isn't blank. Whether a customer is in the brand table is one filtered row."""
+    mine = brands.filter(F.coalesce(F.col("kunnr"), F.lit("")) == customer)
+    named = F.when(F.coalesce(F.col("name1"), F.lit("")) != "", F.col("_ord"))
+    row = mine.agg(F.count("*").alias("n"), F.min_by("name1", named).alias("name")).first()
+    if not row["n"]:
+        raise ValueError(f"no rule book and no brand of customer {customer}")
+    meta = {"code": customer, "name": row["name"] or customer, "customer_no": customer, "status": "active", "file_types": [], "generic": True}
+    return load_book({**texts, customer: yaml.safe_dump({"meta": meta, "extends": extends})}, customer)
