@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
+from . import fill_middle, languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
 from .common import documents
 
 
@@ -68,6 +68,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (languages.remainder(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the form of its fill-in-the-middle text, where it is cut, and digests of it and of the text restored from it."""
+    out = fill_middle.fill_in_middle(documents(spark, sf_dir))
+    back = F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back.alias("restored_sha256"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -79,9 +86,34 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    # By code points and not by tokens: the cuts are where the first characters of tokens stand.
+    "op11_fill_in_middle": r"""
+        WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        chars AS (SELECT r, unnest(regexp_extract_all(text, '(?s).')) AS c, generate_subscripts(regexp_extract_all(text, '(?s).'), 1) AS i FROM texts WHERE text <> ''),
+        begun AS (SELECT r, i, CASE WHEN regexp_matches(c, '[A-Za-z]') AND lag(regexp_matches(c, '[A-Za-z]'), 1, false) OVER (PARTITION BY r ORDER BY i) THEN 0 ELSE 1 END AS first FROM chars),
+        numbered AS (SELECT r, i, sum(first) OVER (PARTITION BY r ORDER BY i) AS token FROM begun),
+        counted AS (SELECT texts.*, coalesce((SELECT max(token) FROM numbered WHERE numbered.r = texts.r), 0)::BIGINT AS n FROM texts),
+        drawn AS (
+            SELECT r, doc_id, text, n, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1)::UBIGINT AS x, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1)::UBIGINT AS y,
+                text = '' OR text LIKE '%<P>%' OR text LIKE '%<S>%' OR text LIKE '%<M>%' OR ('0x' || substr(h, 17, 8))::UBIGINT % 100 >= 90 AS plain,
+                ('0x' || substr(h, 25, 8))::UBIGINT % 100 < 20 AS spm
+            FROM counted),
+        ends AS (
+            SELECT drawn.r, count(i) FILTER (WHERE token <= least(x, y)) AS a, count(i) FILTER (WHERE token <= greatest(x, y)) AS b
+            FROM drawn LEFT JOIN numbered ON numbered.r = drawn.r GROUP BY drawn.r),
+        made AS (
+            SELECT doc_id, text, n, plain, spm, a, b, substr(text, 1, a) AS p, substr(text, a + 1, b - a) AS m, substr(text, b + 1) AS s
+            FROM drawn JOIN ends ON ends.r = drawn.r)
+        SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+            CASE WHEN NOT plain THEN a END AS prefix_chars, CASE WHEN NOT plain THEN b - a END AS middle_chars,
+            sha256(CASE WHEN plain THEN text WHEN spm THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+            sha256(text) AS restored_sha256
+        FROM made""",
+}
 
 
 def queries() -> dict:
