@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fill_middle, languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
+from . import conversations, fill_middle, languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
 from .common import documents
 
 
@@ -75,6 +75,12 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", back.alias("restored_sha256"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, after damage: its faults, its cheapest edits and the digest of the repaired text."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.repair_reports(rows, conversations.damaged(rows))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -87,6 +93,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
