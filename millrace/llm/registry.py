@@ -6,7 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, fill_middle, languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
+from . import conversations, fill_middle, kneser_ney, languages, licenses, line_dedup, mixing, near_dedup, packing, quality, sharding, spotsigs, substring_dedup
 from .common import documents
 
 
@@ -81,6 +81,16 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_reports(rows, conversations.damaged(rows))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its log10 probability under the n-gram model of the documents that are not held out, and under single words."""
+    docs = documents(spark, sf_dir)
+    held_out = kneser_ney.remainder(F.col("doc_id")) == 0
+    model = kneser_ney.train(docs.filter(~held_out))
+    return kneser_ney.score_texts(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity"
+    )
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_license_scan": op2_license_scan,
@@ -94,6 +104,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_lm_scoring": op13_lm_scoring,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
