@@ -10,6 +10,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import expr as X
 from ..functions.formats import apply_format
@@ -54,6 +55,8 @@ class Scope:
     def __init__(self, meta: Mapping[str, str], rows: DataFrame):
         self.meta, self.named = dict(meta), {}
         self.keys = {h: set(rows.schema[h].dataType.fieldNames()) for h in ("header", "shipment", "line") if h in rows.columns}
+        kinds = {h: rows.schema[h].dataType["extra"].dataType for h in ("header", "line") if "extra" in self.keys.get(h, ())}
+        self.extra = {h: set(kind.fieldNames()) for h, kind in kinds.items() if isinstance(kind, StructType)}
 
     def __call__(self, path: str) -> Column | None:
         head, _, rest = path.partition(".")
@@ -61,7 +64,7 @@ class Scope:
             return F.lit(str(self.meta[rest])) if rest in self.meta else None
         if head in ("header", "shipment", "line"):
             if rest.startswith("extra.") and head != "shipment":
-                if "extra" not in self.keys.get(head, ()):
+                if "extra" not in self.keys.get(head, ()) or rest[6:] not in self.extra.get(head, (rest[6:],)):
                     return None
                 return or_blank(F.col(f"{head}.extra")[rest[6:]]["value"])
             if head == "line" and rest == "line_no":

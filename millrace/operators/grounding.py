@@ -17,13 +17,18 @@ def ground(values: DataFrame, documents: DataFrame) -> DataFrame:
     that a chunk may point at (null: all). documents: doc_id, lines (an array), has_text, anchored. Without a text layer, or if no anchors
     were asked for, confidence alone is judged. An error replaces the warning of the same value. Blank values have no issues.
     """
-    text = documents.select("doc_id", "lines", F.coalesce(F.col("has_text") & F.col("anchored"), F.lit(False)).alias("_check"), normalized(F.array_join("lines", "\n")).alias("_text"))
-    rows = values.filter(~blank(strip(F.col("value")))).join(text, "doc_id").withColumn("_end", F.coalesce("src_end", "src"))
-    rows = rows.withColumn("_found", anchor(F.col("value"), slice_text(F.col("lines"), F.col("src"), F.col("_end"))))
-    within = (F.col("src") >= 1) & (F.col("src") <= F.col("_end")) & (F.col("_end") <= F.size("lines"))
+    whole = [c for c in values.columns if c != "doc_id"]
+    kept = values.filter(~blank(strip(F.col("value")))).withColumn("_end", F.coalesce("src_end", "src"))
+    text = documents.select("doc_id", "lines", F.coalesce(F.col("has_text") & F.col("anchored"), F.lit(False)).alias("_check"))
+    # One row a document: its lines are read where they are, and not copied to each value.
+    joined = kept.groupBy("doc_id").agg(F.collect_list(F.struct(*whole, "_end")).alias("_values")).join(text, "doc_id").withColumn("_text", normalized(F.array_join("lines", "\n")))
+    unknown = lambda v: v["part"] & part_backstop(normalized(v["value"]), F.col("_text"))
+    judged = F.transform("_values", lambda v: F.struct(v.alias("v"), slice_text(F.col("lines"), v["src"], v["_end"]).alias("_hay"), unknown(v).alias("_unknown")))
+    rows = joined.select("doc_id", "_check", F.size("lines").alias("_size"), F.explode(judged).alias("_j")).select("doc_id", "_check", "_size", "_j.v.*", "_j._hay", "_j._unknown")
+    rows = rows.withColumn("_found", anchor(F.col("value"), F.col("_hay")))
+    within = (F.col("src") >= 1) & (F.col("src") <= F.col("_end")) & (F.col("_end") <= F.col("_size"))
     astray = F.col("lo").isNotNull() & ((F.col("src") < F.col("lo")) | (F.col("_end") > F.col("hi")))
-    invented = F.col("part") & part_backstop(normalized(F.col("value")), F.col("_text"))
-    wrong = ~F.coalesce(within, F.lit(False)) | F.coalesce(astray, F.lit(False)) | (F.col("_found") == "miss") | F.coalesce(invented, F.lit(False))
+    wrong = ~F.coalesce(within, F.lit(False)) | F.coalesce(astray, F.lit(False)) | (F.col("_found") == "miss") | F.coalesce("_unknown", F.lit(False))
     told = lambda level, code: F.struct(level.alias("level"), F.lit(code).alias("code"))
     evidence = F.when(F.col("_check") & wrong, told(F.lit("error"), "EVIDENCE_NOT_FOUND")).when(F.col("_check") & (F.col("_found") == "fuzzy"), told(F.lit("warn"), "EVIDENCE_WEAK"))
     level = confidence_issue(F.col("confidence"), F.coalesce("required", F.lit(False)))
