@@ -60,17 +60,26 @@ def anchors(node: Column) -> dict[str, Column]:
     return {k: READ[k](part(node, k), mark(part(node, k))) for k in ANCHORS}
 
 
-def leaf(v: Column, anchor: dict[str, Column] | None = None) -> Column:
-    """A value of either form as struct; what its own anchor leaves out is taken from `anchor`. A missing value is null in all parts."""
-    m = mark(v)
-    deep = m == "{"
-    inner = F.when(deep, part(v, "value")).otherwise(v)
-    fields = {"value": scalar_text(inner, mark(inner))}
-    for k in ANCHORS:
-        own = part(v, k)
-        given = anchor[k] if anchor else F.lit(None).cast("double" if k == "confidence" else "int")
-        fields[k] = F.when(deep & (mark(own) != "n"), READ[k](own, mark(own))).otherwise(given)
-    return F.when(m != "n", struct(fields)).otherwise(F.lit(None).cast(VALUE))
+def leaves(values: Column, anchor: Mapping[str, Column] | None = None) -> Column:
+    """An array of variants of either form as an array of structs; what a value's own anchor leaves out is taken from `anchor`. A missing
+    value is null. The steps name what later ones use more than once, so that the expression stays small."""
+    known = F.transform(values, lambda v: struct({"v": v, "m": mark(v)}))
+    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "inner": F.when(x["m"] == "{", part(x["v"], "value")).otherwise(x["v"])}))
+    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "text": scalar_text(x["inner"], mark(x["inner"]))}))
+
+    def whole_leaf(x: Column) -> Column:
+        fields = {"value": x["text"]}
+        for k in ANCHORS:
+            own = part(x["v"], k)
+            given = anchor[k] if anchor else F.lit(None).cast("double" if k == "confidence" else "int")
+            fields[k] = F.when((x["m"] == "{") & (mark(own) != "n"), READ[k](own, mark(own))).otherwise(given)
+        return F.when(x["m"] != "n", struct(fields)).otherwise(F.lit(None).cast(VALUE))
+
+    return F.transform(known, whole_leaf)
+
+
+def leaf(v: Column) -> Column:
+    return F.get(leaves(F.array(v)), F.lit(0))
 
 
 def payload_problem(v: Column) -> Column:
@@ -85,11 +94,20 @@ def _list(v: Column, key: str) -> Column:
     return F.coalesce(part(v, key, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _extra(node: Column, extra_fields: Sequence[str] | None, anchor: dict[str, Column] | None = None) -> Column:
-    given = part(node, "extra", "map<string,variant>")
-    if extra_fields is None:
-        return F.transform_values(given, lambda _, v: leaf(v, anchor))
-    return struct({name: leaf(given[name], anchor) for name in extra_fields}) if extra_fields else F.lit(None).cast(f"map<string,{VALUE}>")
+def _typed(rows: DataFrame, node: str, keys: Sequence[str], extra_fields: Sequence[str] | None, anchor: Mapping[str, Column] | None = None) -> tuple[DataFrame, dict[str, Column]]:
+    """Adds the values of a node's keys and extra fields, and tells the fields of its struct."""
+    n, found = F.col(node), f"{node}_values"
+    given = part(n, "extra", "map<string,variant>")
+    declared = [*keys, *(extra_fields or ())]
+    rows = rows.withColumn(found, leaves(F.array(*(part(n, k) for k in keys), *(given[name] for name in extra_fields or ())), anchor))
+    at = {k: F.get(found, F.lit(i)) for i, k in enumerate(declared)}
+    if extra_fields:
+        extra = struct({name: F.get(found, F.lit(len(keys) + i)) for i, name in enumerate(extra_fields)})
+    elif extra_fields is None:
+        extra = F.map_from_arrays(F.map_keys(given), leaves(F.map_values(given), anchor))
+    else:
+        extra = F.lit(None).cast(f"map<string,{VALUE}>")
+    return rows, {**{k: at[k] for k in keys}, "extra": extra}
 
 
 def chunk_range(node: Column) -> tuple[Column, Column]:
@@ -116,24 +134,26 @@ def payload_rows(read: DataFrame, extra_fields: Sequence[str] | None = None) ->
     extra_fields: the names that a rule book declares (`extra` becomes a struct of those); None: `extra` is a map of what is there.
     """
     rest = [c for c in read.columns if c not in ("_v", "problem")]
-    v, h, t = F.col("_v"), part(F.col("_v"), "header"), part(F.col("_v"), "totals")
+    v, t = F.col("_v"), F.col("_t")
     ships = _list(v, "shipments")
+    place = lambda node, k: whole(part(node, k), mark(part(node, k)))
     unit = lambda i, s, owner: struct({"i": i, "s": s, "lines": _list(owner, "lines")})
     units = F.when(F.size(ships) > 0, F.transform(ships, lambda s, i: unit(i + 1, s, s))).otherwise(F.array(unit(F.lit(0), F.lit(None).cast("variant"), v)))
-    header = struct({**{k: leaf(part(h, k)) for k in HEADER_KEYS}, "extra": _extra(h, extra_fields)})
-    place = lambda node, k: whole(part(node, k), mark(part(node, k)))
+    docs = read.filter("problem IS NULL").select(*rest, part(v, "header").alias("_h"), part(v, "totals").alias("_t"), units.alias("_units"), (F.size(ships) > 0).alias("split"))
+    docs, header = _typed(docs, "_h", HEADER_KEYS, extra_fields)
     totals = struct({"line_count": place(t, "line_count"), **{k: F.try_variant_get(part(t, k), "$", "string") for k in ("total_qty", "total_amount")}})
-    docs = read.filter("problem IS NULL").select(*rest, header.alias("header"), totals.alias("totals"), (F.size(ships) > 0).alias("split"), F.explode(units).alias("_u"))
     own = ["header", "totals", "split"]
-    lines = docs.select(*rest, *own, F.col("_u.i").alias("ship_idx"), F.col("_u.s").alias("_s"), F.posexplode("_u.lines").alias("_pos", "_l"))
+    docs = docs.select(*rest, struct(header).alias("header"), totals.alias("totals"), "split", F.explode("_units").alias("_u"))
+    docs = docs.withColumn("_s", F.col("_u.s")).withColumn("_s_values", leaves(F.array(*(part(F.col("_s"), k) for k in SHIPMENT_KEYS))))
+    shipment = {"src": place(F.col("_s"), "src"), "src_end": place(F.col("_s"), "src_end"), **{k: F.get("_s_values", F.lit(i)) for i, k in enumerate(SHIPMENT_KEYS)}}
+    docs = docs.select(*rest, *own, F.col("_u.i").alias("ship_idx"), F.when(F.col("_u.i") > 0, struct(shipment)).alias("shipment"), F.col("_u.lines").alias("_lines"))
+    lines = docs.select(*rest, *own, "ship_idx", "shipment", F.posexplode("_lines").alias("_pos", "_l"))
+    lo, hi = chunk_range(F.col("_l"))
+    lines = lines.withColumns({**{f"_a_{k}": c for k, c in anchors(F.col("_l")).items()}, "_lo": lo, "_hi": hi})
     anchor = {k: F.col(f"_a_{k}") for k in ANCHORS}
-    lines = lines.withColumns({f"_a_{k}": c for k, c in anchors(F.col("_l")).items()})
-    s, n = F.col("_s"), F.col("_l")
-    shipment = F.when(F.col("ship_idx") > 0, struct({"src": place(s, "src"), "src_end": place(s, "src_end"), **{k: leaf(part(s, k)) for k in SHIPMENT_KEYS}}))
-    lo, hi = chunk_range(n)
-    own_place = {"line_no": F.col("_pos") + 1, "src": anchor["src"], "src_end": anchor["src_end"], "lo": lo, "hi": hi}
-    line = struct({**own_place, **{k: leaf(part(n, k), anchor) for k in LINE_KEYS}, "extra": _extra(n, extra_fields, anchor)})
-    return lines.select(*rest, *own, "ship_idx", shipment.alias("shipment"), line.alias("line"), (F.col("_pos") + 1).alias("line_no"))
+    lines, line = _typed(lines, "_l", LINE_KEYS, extra_fields, anchor)
+    line = {"line_no": F.col("_pos") + 1, "src": anchor["src"], "src_end": anchor["src_end"], "lo": F.col("_lo"), "hi": F.col("_hi"), **line}
+    return lines.select(*rest, *own, "ship_idx", "shipment", struct(line).alias("line"), (F.col("_pos") + 1).alias("line_no"))
 
 
 def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -153,17 +173,23 @@ def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
     nodes = F.concat(F.array(node(F.lit("header."), "header", zero, zero, part(v, "header"))), lines, F.flatten(F.transform(_list(v, "shipments"), ship)))
     rows = read.filter("problem IS NULL").select(key, F.explode(nodes).alias("_n")).select(key, "_n.*")
     n = F.col("node")
-    entry = lambda name, value: struct({"name": name, "v": value})
-    of = lambda keys: F.array(*(entry(F.lit(k), part(n, k)) for k in keys))
-    extra = F.transform(F.map_entries(F.coalesce(part(n, "extra", "map<string,variant>"), F.create_map().cast("map<string,variant>"))), lambda e: entry(F.concat(F.lit("extra."), e["key"]), e["value"]))
-    entries = F.when(F.col("kind") == "line", F.concat(of(LINE_KEYS), extra)).when(F.col("kind") == "header", F.concat(of(HEADER_KEYS), extra)).otherwise(of(SHIPMENT_KEYS))
+    given = part(n, "extra", "map<string,variant>")
+    names = lambda keys, extra: F.concat(F.array(*map(F.lit, keys)), extra)
+    values = lambda keys, extra: F.concat(F.array(*(part(n, k) for k in keys)), extra)
+    own, head = F.col("kind") == "line", F.col("kind") == "header"
+    no_names, none = F.array().cast("array<string>"), F.array().cast("array<variant>")
+    extra_names = F.coalesce(F.transform(F.map_keys(given), lambda k: F.concat(F.lit("extra."), k)), no_names)
+    extra = F.coalesce(F.map_values(given), none)
     lo, hi = chunk_range(n)
-    own = F.col("kind") == "line"
-    rows = rows.withColumns({**{f"_a_{k}": F.when(own, c) for k, c in anchors(n).items()}, "lo": F.when(own, lo), "hi": F.when(own, hi)})
-    rows = rows.withColumn("_e", F.explode(F.filter(entries, lambda e: e["v"].isNotNull()))).filter(mark(F.col("_e.v")) != "n")
-    rows = rows.withColumn("_x", leaf(F.col("_e.v"), {k: F.col(f"_a_{k}") for k in ANCHORS}))
-    path = F.concat("path", "_e.name")
-    return rows.select(key, path.alias("path"), F.regexp_extract(path, r"[^.]*\z", 0).alias("leaf"), "ship_idx", "line_no", "_x.*", "lo", "hi").filter("value IS NOT NULL")
+    rows = rows.withColumns({
+        **{f"_a_{k}": F.when(own, c) for k, c in anchors(n).items()}, "lo": F.when(own, lo), "hi": F.when(own, hi),
+        "_names": F.when(own, names(LINE_KEYS, extra_names)).when(head, names(HEADER_KEYS, extra_names)).otherwise(names(SHIPMENT_KEYS, no_names)),
+        "_given": F.when(own, values(LINE_KEYS, extra)).when(head, values(HEADER_KEYS, extra)).otherwise(values(SHIPMENT_KEYS, none)),
+    })
+    rows = rows.withColumn("_x", F.explode(F.arrays_zip("_names", leaves(F.col("_given"), {k: F.col(f"_a_{k}") for k in ANCHORS}).alias("_leaf"))))
+    path = F.concat("path", "_x._names")
+    out = rows.select(key, path.alias("path"), F.regexp_extract(path, r"[^.]*\z", 0).alias("leaf"), "ship_idx", "line_no", "_x._leaf.*", "lo", "hi")
+    return out.filter("value IS NOT NULL")
 
 
 def to_ground(values: DataFrame) -> DataFrame:
