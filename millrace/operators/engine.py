@@ -6,7 +6,7 @@ by document serves row numbers, whole-document checks and likely-missed warnings
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -132,8 +132,8 @@ def build(documents: DataFrame, book: Mapping) -> DataFrame:
     return build_rows(split_orders(documents), book)
 
 
-def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
-    """Order rows: doc_id, row_id, group, line_no, one string column for each send field, issues.
+def build_rows(rows: DataFrame, book: Mapping, keep_columns: Sequence[str] = ()) -> DataFrame:
+    """Order rows: doc_id, row_id, group, line_no, keep_columns of rows, one string column for each send field, issues.
 
     rows: doc_id, ship_idx, line_no, split, totals, and the structs header, shipment and line, each with the keys that are needed. book: meta, base, tables, rules, fields, field_specs (in order), split, validation. Missing values are
     '', never null. Field names and order come from field_specs. Issues stand in the order tables, rules, fields, row validation, checks,
@@ -237,7 +237,7 @@ def build_rows(rows: DataFrame, book: Mapping) -> DataFrame:
             rows = CHECKS[check](rows, options)
     own = [n for n in book.get("own_fields", []) if book["fields"].get(n, {}).get("from") not in (None, "const")]
     rows = likely_missed(rows, own)
-    return rows.select("doc_id", "row_id", "group", "line_no", *specs, "issues")
+    return rows.select("doc_id", "row_id", "group", "line_no", *keep_columns, *specs, "issues")
 
 
 def group_label(scope: Scope, path: str | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import payloads
+from ..operators import batches, payloads
 from .common import TIE_SQL, query, table
 from .rule_queries import order_lines
 
@@ -81,8 +81,8 @@ def q_declared_fields(spark, sf_dir):
 
 
 # Form 3 points at the head line; 4 names a part that the document hasn't, and a quantity without a line; 5 lies outside its chunk.
-_FOUND_SQL = f"""{_WIRE_SQL}, p AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'lines[' || n || '].' ELSE 'shipments[' || s || '].lines[' || k || '].' END AS prefix, doc_id % 10 NOT IN (4, 6) AS judged FROM x WHERE NOT odd)
-SELECT doc_id, prefix || 'item_code' AS path, 'error' AS level, 'EVIDENCE_NOT_FOUND' AS code FROM p WHERE judged AND form IN (3, 4, 5)
+_FOUND_SQL = """p AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN 'lines[' || n || '].' ELSE 'shipments[' || s || '].lines[' || k || '].' END AS prefix, doc_id % 10 NOT IN (4, 6) AS judged FROM x WHERE NOT odd),
+found AS (SELECT doc_id, prefix || 'item_code' AS path, 'error' AS level, 'EVIDENCE_NOT_FOUND' AS code FROM p WHERE judged AND form IN (3, 4, 5)
 UNION ALL SELECT doc_id, prefix || 'quantity', 'error', 'EVIDENCE_NOT_FOUND' FROM p WHERE judged AND form IN (4, 5)
 UNION ALL SELECT doc_id, prefix || 'quantity', 'error', 'EVIDENCE_NOT_FOUND' FROM p WHERE judged AND form = 3 AND qty > 20
 UNION ALL SELECT doc_id, prefix || 'extra.color', 'error', 'EVIDENCE_NOT_FOUND' FROM p WHERE judged AND form = 3
@@ -90,14 +90,14 @@ UNION ALL SELECT doc_id, prefix || 'description', 'warn', 'EVIDENCE_WEAK' FROM p
 UNION ALL SELECT doc_id, prefix || 'item_code', CASE WHEN form = 2 THEN 'error' ELSE 'warn' END, 'LOW_CONFIDENCE' FROM p WHERE form IN (1, 2)
 UNION ALL SELECT doc_id, prefix || 'quantity', 'warn', 'LOW_CONFIDENCE' FROM p WHERE form = 1
 UNION ALL SELECT DISTINCT doc_id, 'header.po_number', 'error', 'EVIDENCE_NOT_FOUND' FROM x WHERE doc_id % 2 = 0 AND doc_id % 10 NOT IN (4, 6)
-UNION ALL SELECT DISTINCT doc_id, 'lines[1].quantity', 'error', 'EVIDENCE_NOT_FOUND' FROM x WHERE doc_id % 4 <> 0 AND doc_id % 10 NOT IN (4, 6)"""
-_STRUCTURE_SQL = f"""{_WIRE_SQL}, d AS (SELECT doc_id, max(s) AS ships, sum(CASE WHEN odd THEN 0 ELSE qty END) AS qty, sum(qty) AS printed, bool_or(odd) AS odd FROM x GROUP BY 1)
-SELECT doc_id, 'totals.line_count' AS path, 'error' AS level, 'TOTAL_MISMATCH' AS code FROM d WHERE doc_id % 5 = 0
+UNION ALL SELECT DISTINCT doc_id, 'lines[1].quantity', 'error', 'EVIDENCE_NOT_FOUND' FROM x WHERE doc_id % 4 <> 0 AND doc_id % 10 NOT IN (4, 6))"""
+_STRUCTURE_SQL = """d AS (SELECT doc_id, max(s) AS ships, sum(CASE WHEN odd THEN 0 ELSE qty END) AS qty, sum(qty) AS printed, bool_or(odd) AS odd FROM x GROUP BY 1),
+bad AS (SELECT doc_id, 'totals.line_count' AS path, 'error' AS level, 'TOTAL_MISMATCH' AS code FROM d WHERE doc_id % 5 = 0
 UNION ALL SELECT doc_id, 'totals.total_qty', 'error', 'TOTAL_MISMATCH' FROM d WHERE doc_id % 7 = 0 AND NOT odd
-UNION ALL SELECT doc_id, 'shipments[' || (ships + 1) || '].lines', 'error', 'NO_LINES' FROM d WHERE doc_id % 4 = 2"""
+UNION ALL SELECT doc_id, 'shipments[' || (ships + 1) || '].lines', 'error', 'NO_LINES' FROM d WHERE doc_id % 4 = 2)"""
 
 
-@query(f"WITH {_FOUND_SQL}")
+@query(f"WITH {_WIRE_SQL}, {_FOUND_SQL} SELECT * FROM found")
 def q_ground_payloads(spark, sf_dir):
     """Grounding of every value of every tree against its document: anchors, chunk ranges, part numbers, confidence; scans judged by confidence alone."""
     from ..operators.grounding import ground
@@ -106,7 +106,56 @@ def q_ground_payloads(spark, sf_dir):
     return ground(values, wire_documents(spark, sf_dir))
 
 
-@query(f"WITH {_STRUCTURE_SQL}")
+@query(f"WITH {_WIRE_SQL}, {_STRUCTURE_SQL} SELECT * FROM bad")
 def q_payload_structure(spark, sf_dir):
     """Shipments and documents without lines, and totals that don't agree."""
     return payloads.structure_issues(payloads.read_payloads(wire_payloads(spark, sf_dir)))
+
+
+def order_batches(spark, sf_dir):
+    """A batch for each customer: its orders are files. Keys % 17 of 3 can't be read, those % 13 of 5 have no lines, some payloads are broken off."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_semi")
+    files = orders.select(F.col("o_custkey").alias("batch_id"), F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").cast("string").alias("place"), F.when(F.col("o_orderkey") % 17 == 3, "no such file").alias("error"))
+    bare = F.format_string('{"header": {"po_number": "%d", "po_date": "2026-01-05"}, "shipments": [{"lines": []}], "totals": {"line_count": 3}}', "doc_id")
+    sent = wire_payloads(spark, sf_dir).withColumn("payload", F.when(F.col("doc_id") % 13 == 5, bare).otherwise(F.col("payload")))
+    return files, sent.withColumnRenamed("doc_id", "file_id"), wire_documents(spark, sf_dir).withColumnRenamed("doc_id", "file_id")
+
+
+BATCH_BOOK = {
+    "fields": {"PO": {"from": "doc", "path": "header.po_number"}, "ITEM": {"from": "doc", "path": "line.item_code"}, "QTY": {"from": "doc", "path": "line.quantity", "format": "integer"}},
+    "field_specs": {"PO": {"required": True}, "ITEM": {"required": True}, "QTY": {"required": True}},
+}
+# In the SQL twins a file without lines has errors in the header (where it is judged), its printed line count, and its missing lines.
+_FILES_SQL = f"""{_WIRE_SQL}, {_FOUND_SQL}, {_STRUCTURE_SQL},
+f AS (SELECT o_custkey AS batch_id, o_orderkey AS file_id, CAST(o_orderdate AS VARCHAR) AS place, o_orderkey % 17 = 3 AS unread, o_orderkey % 13 = 5 AS bare, o_orderkey % 4 = 3 AS broken, o_orderkey % 10 NOT IN (4, 6) AS judged
+FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)),
+c AS (SELECT f.*, CASE WHEN unread OR bare OR broken THEN 0 ELSE (SELECT count(*) FROM x WHERE doc_id = file_id) END AS row_count FROM f),
+g AS (SELECT *, row_count = 0 AND NOT unread AND bare AS empty, coalesce(sum(row_count) OVER (PARTITION BY batch_id ORDER BY place, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)"""
+
+
+@query(f"""WITH {_FILES_SQL} SELECT batch_id, file_id, CASE WHEN unread OR broken OR bare THEN 'FAILED' ELSE 'DONE' END AS status,
+CASE WHEN unread THEN 'no such file' WHEN empty AND judged THEN 'header.po_date: EVIDENCE_NOT_FOUND / header.po_number: EVIDENCE_NOT_FOUND / totals.line_count: TOTAL_MISMATCH (and 2 more)'
+WHEN empty THEN 'totals.line_count: TOTAL_MISMATCH / lines: NO_LINES / shipments[1].lines: NO_LINES' WHEN broken THEN 'the payload is no JSON object' ELSE '' END AS error, row_count,
+CASE WHEN unread THEN '' WHEN empty THEN '3' WHEN broken THEN '' ELSE CAST(row_count + CASE WHEN file_id % 5 = 0 THEN 1 ELSE 0 END AS VARCHAR) END AS doc_line_count,
+CASE WHEN unread OR empty OR broken THEN '' ELSE (SELECT sum(qty) FROM x WHERE doc_id = file_id) + CASE WHEN file_id % 7 = 0 THEN 1 ELSE 0 END || ' pcs' END AS doc_total_qty,
+CASE WHEN unread THEN false WHEN empty THEN true WHEN broken THEN false ELSE file_id % 4 <> 0 END AS doc_split FROM g""")
+def q_batch_files(spark, sf_dir):
+    """The state of every file of every batch: done, or failed with up to three reasons."""
+    _, states = batches.parse_batch(*order_batches(spark, sf_dir), BATCH_BOOK)
+    return states.drop("doc_total_amount")
+
+
+@query(f"""WITH {_FILES_SQL}, r AS (SELECT g.batch_id, g.file_id, g.before, x.*, row_number() OVER (PARTITION BY g.file_id ORDER BY s, k) AS place_in_file,
+CASE WHEN file_id % 4 = 0 THEN 'lines[' || n || '].' ELSE 'shipments[' || s || '].lines[' || k || '].' END AS prefix FROM g JOIN x ON doc_id = file_id WHERE row_count > 0),
+e AS (SELECT *, regexp_extract(path, '^(shipments\\[\\d+\\]\\.)?lines\\[\\d+\\]\\.') AS own FROM (SELECT * FROM found UNION ALL SELECT * FROM bad)),
+l AS (SELECT e.*, EXISTS (SELECT 1 FROM r WHERE r.file_id = e.doc_id AND r.prefix = e.own) AS lands FROM e),
+h AS (SELECT r.file_id, r.prefix, l.level FROM r JOIN l ON l.doc_id = r.file_id AND (l.lands AND l.own = r.prefix OR NOT l.lands)),
+t AS (SELECT file_id, prefix, count(*) AS n, count(*) FILTER (WHERE level = 'error') AS errors FROM h GROUP BY ALL)
+SELECT r.batch_id, r.file_id, printf('r_%04d', CAST(before + place_in_file AS BIGINT)) AS row_id, CASE WHEN odd THEN '' WHEN form = 4 THEN 'X-' || code || '.0' ELSE 'P-' || code END AS item,
+CASE WHEN odd THEN '' ELSE CAST(qty AS VARCHAR) END AS qty, coalesce(t.n, 0) + CASE WHEN odd THEN 2 ELSE 0 END AS n_issues, coalesce(t.errors, 0) + CASE WHEN odd THEN 2 ELSE 0 END AS n_errors
+FROM r LEFT JOIN t ON t.file_id = r.file_id AND t.prefix = r.prefix""")
+def q_batch_rows(spark, sf_dir):
+    """Rows of every batch, numbered through its files, with the engine's issues and grounding's."""
+    found, _ = batches.parse_batch(*order_batches(spark, sf_dir), BATCH_BOOK)
+    errors = F.size(F.filter("issues", lambda x: x["severity"] == "error"))
+    return found.select("batch_id", "file_id", "row_id", F.col("ITEM").alias("item"), F.col("QTY").alias("qty"), F.size("issues").cast("long").alias("n_issues"), errors.cast("long").alias("n_errors"))
