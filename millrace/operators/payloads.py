@@ -24,27 +24,27 @@ def part(v: Column, key: str, kind: str = "variant") -> Column:
 
 
 def mark(v: Column) -> Column:
-    """The first character of a variant's JSON: { [ " t f n, a digit or a minus."""
-    return F.substring(F.to_json(v), 1, 1)
+    """What a small variant is, by two letters of its type: OB an object, AR an array, ST a text, BO a boolean, VO null, others are numbers."""
+    return F.substring(F.schema_of_variant(v), 1, 2)
 
 
 def scalar_text(v: Column, m: Column) -> Column:
     """A value as text without white space at its ends; booleans as True and False, lists and structs as JSON."""
     text = F.try_variant_get(v, "$", "string")
-    return strip(F.when(m.isin("t", "f"), F.initcap(text)).when(m != "n", text))
+    return strip(F.when(m == "BO", F.initcap(text)).when(m != "VO", text))
 
 
 def whole(v: Column, m: Column) -> Column:
     """412, "412" and 412.0 are 412; booleans and other texts are no numbers."""
     text = strip(F.try_variant_get(v, "$", "string"))
     digits = F.when(text.rlike(r"\A[-+]?[0-9]+(_[0-9]+)*\z"), F.replace(text, F.lit("_"), F.lit("")).try_cast("int"))
-    return F.when(m == '"', digits).when(~m.isin("t", "f"), F.try_variant_get(v, "$", "int"))
+    return F.when(m == "ST", digits).when(m != "BO", F.try_variant_get(v, "$", "int"))
 
 
 def real(v: Column, m: Column) -> Column:
     text = strip(F.try_variant_get(v, "$", "string"))
     number = F.when(text.rlike(r"\A[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?\z"), text.try_cast("double"))
-    return F.when(m == '"', number).when(~m.isin("t", "f"), F.try_variant_get(v, "$", "double"))
+    return F.when(m == "ST", number).when(m != "BO", F.try_variant_get(v, "$", "double"))
 
 
 def struct(fields: Mapping[str, Column]) -> Column:
@@ -64,7 +64,7 @@ def leaves(values: Column, anchor: Mapping[str, Column] | None = None) -> Column
     """An array of variants of either form as an array of structs; what a value's own anchor leaves out is taken from `anchor`. A missing
     value is null. The steps name what later ones use more than once, so that the expression stays small."""
     known = F.transform(values, lambda v: struct({"v": v, "m": mark(v)}))
-    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "inner": F.when(x["m"] == "{", part(x["v"], "value")).otherwise(x["v"])}))
+    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "inner": F.when(x["m"] == "OB", part(x["v"], "value")).otherwise(x["v"])}))
     known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "text": scalar_text(x["inner"], mark(x["inner"]))}))
 
     def whole_leaf(x: Column) -> Column:
@@ -72,8 +72,8 @@ def leaves(values: Column, anchor: Mapping[str, Column] | None = None) -> Column
         for k in ANCHORS:
             own = part(x["v"], k)
             given = anchor[k] if anchor else F.lit(None).cast("double" if k == "confidence" else "int")
-            fields[k] = F.when((x["m"] == "{") & (mark(own) != "n"), READ[k](own, mark(own))).otherwise(given)
-        return F.when(x["m"] != "n", struct(fields)).otherwise(F.lit(None).cast(VALUE))
+            fields[k] = F.when((x["m"] == "OB") & (mark(own) != "VO"), READ[k](own, mark(own))).otherwise(given)
+        return F.when(x["m"] != "VO", struct(fields)).otherwise(F.lit(None).cast(VALUE))
 
     return F.transform(known, whole_leaf)
 
@@ -84,9 +84,11 @@ def leaf(v: Column) -> Column:
 
 def payload_problem(v: Column) -> Column:
     """Why a payload can't be read, or null. Missing and null parts are empty ones."""
-    bad = F.when(F.coalesce(mark(v), F.lit("")) != "{", "the payload is no JSON object")
-    for key, kind, said in (("header", "{", "an object"), ("totals", "{", "an object"), ("lines", "[", "a list"), ("shipments", "[", "a list")):
-        bad = bad.when(~F.coalesce(mark(part(v, key)), F.lit("n")).isin(kind, "n"), f"{key} is not {said}")
+    kinds = {"an object": "map<string,variant>", "a list": "array<variant>"}
+    bad = F.when(F.try_variant_get(v, "$", kinds["an object"]).isNull(), "the payload is no JSON object")
+    for key, said in (("header", "an object"), ("totals", "an object"), ("lines", "a list"), ("shipments", "a list")):
+        there = part(v, key).isNotNull() & ~F.is_variant_null(part(v, key))
+        bad = bad.when(there & part(v, key, kinds[said]).isNull(), f"{key} is not {said}")
     return bad
 
 
@@ -119,7 +121,8 @@ def chunk_range(node: Column) -> tuple[Column, Column]:
 
 
 def read_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Replaces the payload by `_v` (a VARIANT, null where it can't be read) and `problem` (why, or null)."""
+    """Replaces the payload by `_v` (a VARIANT, null where it can't be read) and `problem` (why, or null). What follows doesn't filter by these:
+    a filter would be pushed below the parsing, and parse once for each part that `problem` looks at."""
     rest = [c for c in payloads.columns if c != column]
     rows = payloads.select(*rest, F.try_parse_json(column).alias("_v"))
     rows = rows.withColumn("problem", payload_problem(F.col("_v")))
@@ -139,7 +142,7 @@ def payload_rows(read: DataFrame, extra_fields: Sequence[str] | None = None) ->
     place = lambda node, k: whole(part(node, k), mark(part(node, k)))
     unit = lambda i, s, owner: struct({"i": i, "s": s, "lines": _list(owner, "lines")})
     units = F.when(F.size(ships) > 0, F.transform(ships, lambda s, i: unit(i + 1, s, s))).otherwise(F.array(unit(F.lit(0), F.lit(None).cast("variant"), v)))
-    docs = read.filter("problem IS NULL").select(*rest, part(v, "header").alias("_h"), part(v, "totals").alias("_t"), units.alias("_units"), (F.size(ships) > 0).alias("split"))
+    docs = read.select(*rest, part(v, "header").alias("_h"), part(v, "totals").alias("_t"), units.alias("_units"), (F.size(ships) > 0).alias("split"))
     docs, header = _typed(docs, "_h", HEADER_KEYS, extra_fields)
     totals = struct({"line_count": place(t, "line_count"), **{k: F.try_variant_get(part(t, k), "$", "string") for k in ("total_qty", "total_amount")}})
     own = ["header", "totals", "split"]
@@ -171,7 +174,7 @@ def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
         F.transform(_list(s, "lines"), lambda x, j: node(F.format_string("shipments[%d].lines[%d].", i + 1, j + 1), "line", i + 1, j + 1, x)),
     )
     nodes = F.concat(F.array(node(F.lit("header."), "header", zero, zero, part(v, "header"))), lines, F.flatten(F.transform(_list(v, "shipments"), ship)))
-    rows = read.filter("problem IS NULL").select(key, F.explode(nodes).alias("_n")).select(key, "_n.*")
+    rows = read.select(key, F.explode(nodes).alias("_n")).select(key, "_n.*")
     n = F.col("node")
     given = part(n, "extra", "map<string,variant>")
     names = lambda keys, extra: F.concat(F.array(*map(F.lit, keys)), extra)
@@ -208,7 +211,7 @@ def structure_issues(read: DataFrame, key: str = "doc_id") -> DataFrame:
     number = lambda text: F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("decimal(38,10)")
     quantity = lambda line: number(leaf(part(line, "quantity"))["value"])
     printed = number(F.try_variant_get(part(t, "total_qty"), "$", "string"))
-    rows = read.filter("problem IS NULL").select(key, ships.alias("_s"), lines.alias("_l"), printed.alias("_printed"), whole(part(t, "line_count"), mark(part(t, "line_count"))).alias("_count"))
+    rows = read.select(key, F.col("problem").isNull().alias("_good"), ships.alias("_s"), lines.alias("_l"), printed.alias("_printed"), whole(part(t, "line_count"), mark(part(t, "line_count"))).alias("_count"))
     rows = rows.withColumn("_q", F.transform("_l", quantity))
     added = F.aggregate("_q", F.lit(0).cast("decimal(38,10)"), lambda a, q: F.try_add(a, q).cast("decimal(38,10)"))
     error = lambda path, code: struct({"path": path, "level": F.lit("error"), "code": F.lit(code)})
@@ -218,7 +221,7 @@ def structure_issues(read: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array(told(F.col("_count") != F.size("_l"), "totals.line_count", "TOTAL_MISMATCH"), told(F.col("_printed") != added, "totals.total_qty", "TOTAL_MISMATCH"), told(F.size("_l") == 0, "lines", "NO_LINES")),
         bare,
     )
-    return rows.select(key, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("_i")).select(key, "_i.*")
+    return rows.select(key, F.explode(F.when(F.col("_good"), F.filter(found, lambda x: x.isNotNull()))).alias("_i")).select(key, "_i.*")
 
 
 def ground_payloads(read: DataFrame, documents: DataFrame) -> DataFrame:
