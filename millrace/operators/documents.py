@@ -77,6 +77,62 @@ def merge_chunks(items: DataFrame, doc: str = "doc_id", unit: str = "ship_idx")
     return rows.withColumn("line_no", F.row_number().over(Window.partitionBy(doc, unit).orderBy(*order)))
 
 
+def halves(start: Column, end: Column, depth: int, number: int = 1) -> list[tuple[int, Column, Column]]:
+    """(number, start, end) of a range and of its halves, `depth` times over, numbered as a binary tree; the first half has the middle line."""
+    if not depth:
+        return [(number, start, end)]
+    middle = F.floor((start + end) / 2).cast("int")
+    return [(number, start, end), *halves(start, middle, depth - 1, 2 * number), *halves(middle + 1, end, depth - 1, 2 * number + 1)]
+
+
+def read_pieces(chunks: DataFrame, answers: DataFrame, tail: int = 0, depth: int = 2, doc: str = "doc_id", unit: str = "ship_idx") -> DataFrame:
+    """The pieces that chunks were read in: a chunk whose answer was cut off is read by halves, `depth` times at most.
+
+    chunks: doc, unit, chunk_index, start, end, read_end (null: none). answers: doc, start, end, state (ok, truncated, failed), one for each range that was asked for. Returns doc,
+    unit, chunk_index, start, end, tail_end, failed: the ranges that make up each chunk. A piece fails alone: with a failed or missing answer, or cut off at
+    the last depth or at a single line. The ranges of a chunk are few, so that they are one row while they are judged.
+    """
+    base_end = F.coalesce("read_end", "end")
+    tree = F.array(*(F.struct(F.lit(n).alias("number"), a.cast("int").alias("start"), b.cast("int").alias("end")) for n, a, b in halves(F.col("start"), F.col("end"), depth)))
+    asked = chunks.select(doc, unit, "chunk_index", base_end.alias("_base"), F.explode(F.filter(tree, lambda x: x["start"] <= x["end"])).alias("_x")).select(doc, unit, "chunk_index", "_base", "_x.*")
+    told = asked.join(answers.select(doc, "start", "end", "state"), [doc, "start", "end"], "left")
+    nodes = told.groupBy(doc, unit, "chunk_index", "_base").agg(F.collect_list(F.struct("number", "start", "end", "state")).alias("_nodes"))
+    cut = lambda x: F.coalesce(x["state"] == "truncated", F.lit(False)) & (x["end"] > x["start"])
+
+    was_cut = lambda number: (number == 0) | F.exists("_nodes", lambda y: (y["number"] == number) & cut(y))
+
+    def reached(x: Column) -> Column:
+        test = F.lit(True)
+        for up in range(1, depth + 1):
+            test = test & was_cut(F.shiftright(x["number"], up))
+        return test
+
+    last = 1 << depth
+    pieces = F.filter("_nodes", lambda x: reached(x) & (~cut(x) | (x["number"] >= last)))
+    rows = nodes.select(doc, unit, "chunk_index", "_base", F.explode(pieces).alias("_p")).select(doc, unit, "chunk_index", "_base", "_p.*")
+    tail_end = F.when(F.col("end") < F.col("_base"), F.least(F.col("end") + tail, F.col("_base"))).otherwise(F.col("end"))
+    return rows.select(doc, unit, "chunk_index", "start", "end", tail_end.cast("int").alias("tail_end"), F.coalesce(F.col("state") != "ok", F.lit(True)).alias("failed"))
+
+
+def merge_pieces(pieces: DataFrame, items: DataFrame, doc: str = "doc_id", unit: str = "ship_idx") -> tuple[DataFrame, DataFrame]:
+    """The lines of documents from the pieces that were read, and the issues of the pieces.
+
+    items: doc, start, end (the range that was asked for), pos, src, others. Lines: as merge_chunks gives them, with lo and hi, the lines that a piece may
+    point at. Issues: doc, unit, chunk_index, start, end, severity, code: CHUNK_FAILED, EMPTY_CHUNK, or DUPLICATE_LINE for each line read twice.
+    """
+    good = pieces.filter(~F.col("failed"))
+    read = good.join(items, [doc, "start", "end"]).withColumns({"lo": F.col("start"), "hi": F.col("tail_end")})
+    lines = merge_chunks(read, doc, unit)
+    place = [doc, unit, "chunk_index", "start", "end"]
+    counts = read.groupBy(*place).agg(F.count("*").alias("_n"))
+    bare = good.join(counts, place, "left_anti")
+    tail = F.coalesce((F.col("src") > F.col("end")) & (F.col("src") <= F.col("tail_end")), F.lit(False))
+    again = Window.partitionBy(doc, unit, "src").orderBy("chunk_index", "start", "pos")
+    twice = read.filter(~tail & F.col("src").isNotNull()).withColumn("_rn", F.row_number().over(again)).filter("_rn > 1")
+    issue = lambda df, level, code: df.select(*place, F.lit(level).alias("severity"), F.lit(code).alias("code"))
+    return lines, issue(pieces.filter("failed"), "error", "CHUNK_FAILED").unionByName(issue(bare, "warn", "EMPTY_CHUNK")).unionByName(issue(twice, "warn", "DUPLICATE_LINE"))
+
+
 def chunk_issues(chunks: DataFrame, items: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, chunk_index, severity, code): CHUNK_FAILED errors and EMPTY_CHUNK warnings. chunks: doc, chunk_index, failed."""
     counts = items.groupBy(doc, "chunk_index").agg(F.count("*").alias("_n"))

@@ -12,11 +12,13 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import OPS, blank, group_number, java_regex, normalize, or_blank
+from ..functions.text import OPS, blank, casefold, group_number, java_regex, normalize, or_blank
 
 Resolve = Callable[[str], Column | None]
 #: Reference rows up to which a contains-map is compiled into a CASE chain.
 CHAIN_ROWS = 256
+#: Entries up to which a contains-map tries all of them on a source, and the length of the runs by which more are found.
+FEW_ENTRIES, GRAM = 1000, 3
 
 
 def source_of(spec: Mapping, resolve: Resolve) -> Column:
@@ -62,7 +64,7 @@ def decision_table(table: Mapping, resolve: Resolve) -> tuple[Column, Column]:
 
 def folding(rule: Mapping) -> Callable[[Column], Column]:
     """How texts are made ready to compare: as they are, or without case if the rule says so."""
-    return F.lower if rule.get("case", "sensitive") == "insensitive" else lambda c: c
+    return casefold if rule.get("case", "sensitive") == "insensitive" else lambda c: c
 
 
 def keyword_map(rule: Mapping, resolve: Resolve) -> Column:
@@ -159,7 +161,7 @@ def csv_map(rows: DataFrame, entries: list[tuple[str, str]], source: Column, nam
         return csv_map_table(rows, table, source, name, "needle", "value", longest_first=longest_first, insensitive=insensitive, equal=equal)
     if longest_first:
         ordered.sort(key=lambda e: -len(e[0]))
-    fold = F.lower if insensitive else lambda c: c
+    fold = casefold if insensitive else lambda c: c
     out = F.lit(None).cast("string")
     for needle, value in reversed(ordered):
         test = fold(source) == fold(F.lit(needle)) if equal else F.contains(fold(source), fold(F.lit(needle)))
@@ -171,23 +173,54 @@ def csv_map_table(rows: DataFrame, reference: DataFrame, source: Column, name: s
     """Adds `name`: the value of the first reference row whose needle the source holds, or equals where mode_column says `equals`; null
     if none. filter_column keeps the rows of one customer.
 
-    The rows that are left make one array, in their order; distinct sources are matched with it once each and joined back. Reference
-    tables are files kept by hand; one row of this array must fit a task.
+    Up to FEW_ENTRIES rows, which are counted, make one array that every distinct source is matched with; more are found by their grams.
     """
     mine = reference if filter_column is None else reference.filter(F.coalesce(F.col(filter_column), F.lit("")) == filter_value)
+    fold = casefold if insensitive else lambda c: c
     needle = F.coalesce(F.col(key_column), F.lit(""))
     whole = F.lit(equal) if mode_column is None else F.col(mode_column) == "equals"
     rank = -F.length(needle) if longest_first else F.lit(0)
-    entry = F.struct(rank.alias("r"), F.col(order).cast("long").alias("o"), needle.alias("n"), F.coalesce(whole, F.lit(False)).alias("w"), F.coalesce(value_column, F.lit("")).alias("v"))
-    table = mine.filter(needle != "").agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
-    fold = F.lower if insensitive else lambda c: c
+    entry = F.struct(rank.alias("r"), F.col(order).cast("long").alias("o"), fold(needle).alias("n"), F.coalesce(whole, F.lit(False)).alias("w"), F.coalesce(value_column, F.lit("")).alias("v"))
+    entries = mine.filter(needle != "").select(entry.alias("e"))
     keyed = rows.withColumn("_src", source)
-    one = F.col("_one_src")
-    hits = F.filter("_entries", lambda e: F.when(e["w"], fold(one) == fold(e["n"])).otherwise(F.contains(fold(one), fold(e["n"]))))
-    found = keyed.select(F.col("_src").alias("_one_src")).distinct().crossJoin(F.broadcast(table)).select("_one_src", F.get(hits, F.lit(0))["v"].alias(name))
+    sources = keyed.select(F.col("_src").alias("_one_src")).distinct().withColumn("_hay", fold(F.col("_one_src")))
+    if entries.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES:
+        table = entries.agg(F.array_sort(F.collect_list("e")).alias("_entries"))
+        hits = F.filter("_entries", lambda e: F.when(e["w"], F.col("_hay") == e["n"]).otherwise(F.contains(F.col("_hay"), e["n"])))
+        found = sources.crossJoin(F.broadcast(table)).select("_one_src", F.get(hits, F.lit(0))["v"].alias(name))
+    else:
+        found = first_contained(sources, entries).select("_one_src", F.col("_best.v").alias(name))
     return keyed.join(found, keyed["_src"].eqNullSafe(found["_one_src"]), "left").drop("_src", "_one_src")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text; an empty array if it is shorter."""
+    chars = F.split(text, "")
+    runs = F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+
+def first_contained(sources: DataFrame, entries: DataFrame) -> DataFrame:
+    """(_one_src, _best): the least entry of each source that holds its needle, or equals it; sources without one are left out.
+
+    sources: _one_src, _hay (the text that is searched), both distinct. entries: e, a struct that sorts as entries are tried, with n (a needle, not
+    empty) and w (equality). A needle is filed under the one of its grams (runs of GRAM characters, or the whole of a shorter needle) that the fewest
+    sources have, so that common runs draw no candidates; sources come by their grams, and what meets is verified. No side is gathered or broadcast
+    beyond Spark's own size estimates.
+    """
+    sizes = [n for n in range(1, GRAM + 1)] if entries.filter((F.length("e.n") < GRAM) & ~F.col("e.w")).limit(1).count() else [GRAM]
+    sources = sources.filter("_hay IS NOT NULL").withColumn("_id", F.sha2("_hay", 256))
+    parts = entries.filter("NOT e.w").select("e", F.explode(F.when(F.length("e.n") < GRAM, F.array("e.n")).otherwise(grams(F.col("e.n"), GRAM))).alias("_gram"))
+    held = sources.select("_id", F.explode(F.concat(*(grams(F.col("_hay"), n) for n in sizes))).alias("_gram")).join(parts.select("_gram").distinct(), "_gram", "left_semi")
+    often = held.groupBy("_gram").agg(F.count("*").alias("_n"))
+    filed = parts.join(often, "_gram").groupBy("e").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    met = held.join(filed, "_gram").select("_id", "e")
+    texts = sources.select("_id", "_one_src", "_hay")
+    inside = met.join(texts, "_id").filter(F.contains("_hay", F.col("e.n"))).select("_one_src", "e")
+    same = texts.join(entries.filter("e.w"), F.col("_hay") == F.col("e.n")).select("_one_src", "e")
+    return inside.unionByName(same).groupBy("_one_src").agg(F.min("e").alias("_best"))
+
+
 def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rn = 1").drop("_rn")
