@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping
 from xml.etree import ElementTree
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -155,17 +155,30 @@ def read_template(path: str) -> list[tuple[str, str]]:
     return columns
 
 
-def response_key(sent: object, kind: object, version: object, customer: object, model: object) -> object:
-    """The content address of a stored response."""
-    return F.sha2(F.concat_ws("\0", sent, kind, version, customer, model), 256)
+def response_key(sent: Column, kind: Column, version: Column, customer: Column, model: Column) -> Column:
+    """The content address of a stored response: what was sent (null: nothing), and how it was read."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (sent, kind, version, customer, model)]
+    return F.sha2(F.concat(parts[0], *(F.concat(F.lit("\0"), c) for c in parts[1:])), 256)
 
 
-def best_response(requests: DataFrame, stored: DataFrame) -> DataFrame:
-    """requests (key, name) with the payload of the best stored response (key, name, priority, payload): the lowest priority wins."""
-    by_key = requests.join(stored.select(F.col("key"), "priority", "payload"), "key")
-    by_name = requests.join(stored.filter("name IS NOT NULL").select("name", "priority", "payload"), "name").select(by_key.columns)
-    first = Window.partitionBy("key").orderBy("priority")
-    return by_key.unionByName(by_name).withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+def response_name(customer: Column, file: Column, part: str = "") -> Column:
+    """The name of a response that is kept by hand: customer, file (without its folder, odd characters as _), and part (outline, c0, c1, ...)."""
+    safe = F.regexp_replace(F.regexp_replace(F.regexp_extract(file, "[^/]*$", 0), "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", "")
+    return F.concat(F.lower(customer), F.lit("__"), safe, F.lit(f"__{part}" if part else ""), F.lit(".json"))
+
+
+def find_responses(requests: DataFrame, named: DataFrame, stored: DataFrame) -> DataFrame:
+    """requests (file_name, part_name, key, others) with payload and origin: file if a response of the whole file is kept by name, else part, else store, else
+    null for both.
+
+    named: name, payload, names once each. stored: key, payload. Each is an equi-join; requests stay as many as they are.
+    """
+    by = lambda df, on, name: df.select(F.col(on).alias(f"_{name}_on"), F.col("payload").alias(f"_{name}"))
+    out = requests
+    for name, df, on, at in (("file", named, "name", "file_name"), ("part", named, "name", "part_name"), ("store", stored, "key", "key")):
+        out = out.join(by(df, on, name), F.col(at) == F.col(f"_{name}_on"), "left").drop(f"_{name}_on")
+    origin = F.when(F.col("_file").isNotNull(), "file").when(F.col("_part").isNotNull(), "part").when(F.col("_store").isNotNull(), "store")
+    return out.withColumns({"payload": F.coalesce("_file", "_part", "_store"), "origin": origin}).drop("_file", "_part", "_store")
 
 
 def read_audit(spark: SparkSession, path: str, month: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..operators.review import payload_chunks
 
 
@@ -29,9 +34,74 @@ def save_batch(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
 
+def new_responses(responses: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """What of responses (key, payload, stop_reason, others) is to be stored: not cut off, not stored yet, and one of each key."""
+    whole = responses.filter("stop_reason IS NULL OR stop_reason <> 'max_tokens'")
+    if stored is not None:
+        whole = whole.join(stored.select("key").distinct(), "key", "left_anti")
+    rest = [c for c in whole.columns if c != "key"]
+    return whole.groupBy("key").agg(F.min(F.struct("payload", *(c for c in rest if c != "payload"))).alias("_r")).select("key", *(F.col("_r")[c].alias(c) for c in rest))
+
+
 def save_responses(responses: DataFrame, path: str) -> None:
-    """Appends responses, but for those that were cut off."""
-    responses.filter("stop_reason IS NULL OR stop_reason <> 'max_tokens'").write.mode("append").parquet(path)
+    """Appends responses under their keys. A key that is stored already stays as it is, so that a second save changes nothing; the store is cut by the
+    first two digits of its keys."""
+    spark = responses.sparkSession
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = None
+    new_responses(responses, stored).withColumn("shard", F.substring("key", 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+
+
+class Refused(ValueError):
+    """A replacement that was not made, and why."""
+
+
+def replacement_problems(rows: DataFrame, key: str, limits: Mapping[str, int], scope: str | None = None) -> DataFrame:
+    """(place, problem, value) of rows (place, key and value columns) that a table must not get: no_key, other_scope (not of the customer whose rows are
+    edited), too_long:<column>, duplicate (a key that an earlier row has). Rows without any text are no rows."""
+    text = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    columns = [c for c in rows.columns if c != "place"]
+    rows = rows.select("place", *(text(c).alias(c) for c in columns)).filter(F.concat(*columns) != "")
+    told = lambda test, problem, c: F.when(test, F.struct(F.lit(problem).alias("problem"), F.col(c).alias("value")))
+    tests = [told(F.col(key) == "", "no_key", key), told((F.col(key) != "") & (F.col(key) != scope), "other_scope", key) if scope is not None else None]
+    tests += [told(F.length(c) > most, f"too_long:{c}", c) for c, most in limits.items()]
+    found = rows.select("place", F.explode(F.filter(F.array(*(t for t in tests if t is not None)), lambda x: x.isNotNull())).alias("_x")).select("place", "_x.*")
+    full = rows.filter(F.concat(*(c for c in columns if c != key)) != "")
+    again = full.filter(F.col(key) != "").groupBy(key).agg(F.min("place").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    twice = full.join(again, key).filter("place > _first").select("place", F.lit("duplicate").alias("problem"), F.col(key).alias("value"))
+    return found.unionByName(twice)
+
+
+def replace_table(rows: DataFrame, path: str, key: str, limits: Mapping[str, int], scope: str | None = None) -> None:
+    """Replaces the table at path (Parquet), or with scope the rows of that key, by rows (place, key and value columns): all of them or, if one has a problem,
+    none. Rows without a value delete.
+
+    The new table is written beside the old one, and takes its place by renames when it is whole; a failure before leaves the old one.
+    """
+    spark = rows.sparkSession
+    told = replacement_problems(rows, key, limits, scope).orderBy("place", "problem").limit(5).collect()
+    if told:
+        raise Refused("; ".join(f"row {r.place}: {r.problem} {r.value}" for r in told))
+    columns = [c for c in rows.columns if c != "place"]
+    text = lambda c: strip(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c)
+    new = rows.select(*map(text, columns)).filter(F.concat(*(c for c in columns if c != key)) != "")
+    if scope is not None:
+        new = spark.read.parquet(path).filter(F.col(key) != scope).unionByName(new)
+    staged, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("staged", "old"))
+    new.write.parquet(staged)
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at(path)):
+        files.rename(at(path), at(old))
+    if not files.rename(at(staged), at(path)):
+        files.rename(at(old), at(path))
+        raise Refused(f"{path} could not be replaced")
+    files.delete(at(old), True)
 
 
 def save_reference(table: DataFrame, path: str, order: str = "_ord") -> None:
