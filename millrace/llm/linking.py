@@ -16,6 +16,8 @@ from .common import written
 
 #: Edges up to which they are held in one partition, where no step needs a shuffle (16 bytes each).
 ONE_TASK = 500_000
+#: Items up to which a last bucket is held as one array, and how many of its neighbours there an item is compared with.
+SMALL, NEAR = 64, 5
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,7 +65,7 @@ def _with_hubs(rows: DataFrame, hubs: DataFrame, differ: str, alike: Column) ->
     return found.select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b")).distinct()
 
 
-def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = (), alike: Column | None = None) -> DataFrame:
+def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = (), alike: Column | None = None, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, component) of items that are linked; items that are linked with nothing may be absent.
 
     items: (item, keys) and the columns to keep, the keys of each item as an array of distinct longs. shared: the written crowded() of
@@ -72,6 +74,10 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
 
     The hub of a first bucket is the item that shares its buckets with the most others, the likeliest to be what copies come from; that
     of a finer bucket any one, by hash. A link is found if both of its items are linked with a common hub, or if one is the hub.
+
+    last: from items (item) of first buckets that still hold several groups after all levels, further buckets (item, bucket), such that two items
+    that are linked share one. In these, items are compared with the hub and, up to SMALL items, with their next NEAR neighbours too, so that a bucket of
+    NEAR + 1 items is compared whole.
     """
     alike = F.lit(True) if alike is None else alike
     central = shared.groupBy("item").agg(F.sum("n").alias("met"))
@@ -91,4 +97,19 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
             break
         label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
         rows = rows.select("bucket", "item")
-    return label
+    if last is None:
+        return label
+    marked = written(shared.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label")))
+    split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    open_items = written(marked.join(split, "bucket", "left_semi").select("item", "label").distinct())
+    rows = last(open_items.select("item")).join(open_items, "item")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("item"), "item", "label")).alias("hub"))
+    dealt = written(rows.join(sizes.filter("lo <> hi").select("bucket", "size", "hub"), "bucket"))
+    with_hub = dealt.filter("label <> hub.label").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
+    small = dealt.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("item").alias("h"), "item", "label"))).alias("all"))
+    lags = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, NEAR), lambda y: F.struct(F.least(x["item"], y["item"]).alias("a"), F.greatest(x["item"], y["item"]).alias("b"), (x["label"] != y["label"]).alias("differ")))))
+    beside = small.select(F.explode(F.filter(lags, lambda p: p["differ"])).alias("p")).select("p.a", "p.b")
+    more = written(verify(written(with_hub.unionByName(beside).distinct())))
+    if more.isEmpty():
+        return label
+    return written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
