@@ -161,6 +161,26 @@ def q_totals_rollup(spark, sf_dir):
     return t.select("file", F.col("grand").cast("int").alias("grand"), "n_rows", decimal(F.col("qty")).alias("qty"), decimal(F.col("amount")).alias("amount"), "n_no_price", "lines_ok")
 
 
+@query("""WITH l AS (SELECT l_orderkey AS file, CAST(l_quantity AS DECIMAL(18,2)) AS q, CASE WHEN l_partkey % 50 <> 3 THEN CAST(l_extendedprice AS DECIMAL(18,2)) END AS p, l_partkey % 11 = 0 AS deleted FROM lineitem),
+s AS (SELECT file, sum(q) AS qty, sum(q * p) AS amount, count(*) AS lines FROM l WHERE NOT deleted GROUP BY 1),
+f AS (SELECT file, CASE file % 3 WHEN 0 THEN qty WHEN 1 THEN qty + 1 END AS pq, CASE file % 4 WHEN 0 THEN amount WHEN 1 THEN amount + 1 END AS pa, CASE WHEN file % 7 <> 0 THEN lines + CASE WHEN file % 6 = 1 THEN 1 ELSE 0 END END AS pl, file % 5 = 0 AS split FROM s),
+g AS (SELECT f.file, pq, pa, pl, split, count(*) AS n_rows, sum(q) AS qty, coalesce(sum(q * p), 0) AS amount, count(*) FILTER (WHERE p IS NULL) AS n_no_price FROM f JOIN l ON l.file = f.file AND NOT deleted GROUP BY ALL)
+SELECT file, n_rows, n_no_price, CASE WHEN pq IS NULL THEN '' WHEN pq = qty THEN 'true' ELSE 'false' END AS qty_ok, CASE WHEN pa IS NULL OR n_no_price > 0 THEN '' WHEN pa = amount THEN 'true' ELSE 'false' END AS amount_ok,
+CASE WHEN pl IS NULL OR split THEN '' WHEN pl = n_rows THEN 'true' ELSE 'false' END AS lines_ok FROM g""")
+def q_totals_verdicts(spark, sf_dir):
+    """Totals of every order as a file against what is printed on it: quantity, amount (not where a price is missing) and lines (not of split ones)."""
+    i, k = table(spark, sf_dir, "lineitem"), F.col("l_partkey")
+    price = F.when(k % 50 == 3, "").otherwise(F.format_number("l_extendedprice", 2))
+    rows_ = i.select(F.col("l_orderkey").alias("file"), F.format_number("l_quantity", 1).alias("QTY"), price.alias("PRICE"), (k % 11 == 0).alias("deleted"))
+    q, p = F.col("l_quantity").cast("decimal(18,2)"), F.when(k % 50 != 3, F.col("l_extendedprice").cast("decimal(18,2)"))
+    sums = i.filter(k % 11 != 0).groupBy(F.col("l_orderkey").alias("file")).agg(F.sum(q).alias("qty"), F.sum(q * p).alias("amount"), F.count("*").alias("lines"))
+    f = F.col("file")
+    written = lambda c, n: F.format_number(F.when(f % n == 0, F.col(c)).when(f % n == 1, F.col(c) + 1), 4)
+    lines = F.when(f % 7 != 0, F.col("lines") + (f % 6 == 1).cast("int"))
+    files = sums.select("file", written("qty", 3).alias("printed_qty"), written("amount", 4).alias("printed_amount"), lines.alias("printed_lines"), (f % 5 == 0).alias("split"))
+    return review.totals(files, rows_, "QTY", "PRICE").filter("grand = 0").select("file", "n_rows", "n_no_price", "qty_ok", "amount_ok", "lines_ok")
+
+
 @query("""SELECT o_custkey AS batch_id, CASE WHEN bool_or(o_orderstatus = 'P' AND o_orderkey % 50 = 0) THEN 'PARSING' WHEN bool_or(o_orderkey % 31 = 0) THEN 'SENT' WHEN bool_or(o_orderkey % 7 = 0 AND o_orderkey % 5 <> 0) OR count(*) FILTER (WHERE o_orderkey % 5 <> 0) = 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status FROM orders GROUP BY 1""")
 def q_batch_status(spark, sf_dir):
     """Status of batches from their files and rows."""

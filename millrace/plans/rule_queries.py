@@ -189,43 +189,54 @@ def q_expr_logic(spark, sf_dir):
     return _evaluated(spark, sf_dir, lazy="if(contains(line.description, 'red'), line.brand_text, null)", failing="if(contains(line.description, 'red'), line.brand_text, integer('x'))", first="coalesce('', null, line.nothing, line.item_code)", cased="contains(line.description, 'RED')")
 
 
-NUMBERS = ["1,250", "25.000", "1 000", "2.0005", "2.0015", "-3.5", "abc", "", "1e3", "12.3456", "NaN"]
-_NUMBERS_SQL = "(VALUES " + ", ".join(f"('{x}')" for x in NUMBERS) + ") AS v(t)"
+def _formatted(texts: DataFrame, name: str) -> DataFrame:
+    """The distinct texts (t) in a format, whether it failed, and how often they stand there."""
+    value_, failed = apply_format(name, F.col("t"))
+    return texts.groupBy("t").agg(F.count("*").alias("times")).select("t", value_.alias("v"), failed.alias("failed"), "times")
+
+
+# Quantities as they are written: with decimals, thousands, white space, fractions, letters, blank, negative.
+_QUANTITY = """CASE (l_partkey + l_linenumber) % 8 WHEN 0 THEN concat(q, '.000') WHEN 1 THEN concat('1,', lpad(q, 3, '0')) WHEN 2 THEN concat(' ', q, ' 0 ') WHEN 3 THEN concat(q, '.5')
+WHEN 4 THEN concat('x', q) WHEN 5 THEN '' WHEN 6 THEN concat('-', q, '.', lpad(CAST(l_partkey % 10000 AS VARCHAR(9)), 4, '0')) ELSE concat(q, '.', lpad(CAST(l_suppkey % 100 * 100 + 5 AS VARCHAR(9)), 4, '0'), '5') END"""
+_QUANTITY_SQL = f"(SELECT {_QUANTITY} AS t FROM (SELECT *, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS q FROM lineitem))"
 _CLEAN = "TRY_CAST(regexp_replace(t, '[,\\s]', '', 'g') AS DECIMAL(38,18))"
 
 
-def _formatted(spark, name: str, texts: list[str]) -> DataFrame:
-    value_, failed = apply_format(name, F.col("t"))
-    return rows(spark, "t string", *[(x,) for x in texts]).select("t", value_.alias("v"), failed.alias("failed"))
+def _quantities(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("int").cast("string")).select(F.expr(_QUANTITY).cast("string").alias("t"))
 
 
 @query(f"""SELECT t, CASE WHEN t = '' OR {_CLEAN} IS NULL OR {_CLEAN} <> floor({_CLEAN}) THEN t ELSE CAST(CAST(floor({_CLEAN}) AS DECIMAL(38,0)) AS VARCHAR) END AS v,
-t <> '' AND ({_CLEAN} IS NULL OR {_CLEAN} <> floor({_CLEAN})) AS failed FROM {_NUMBERS_SQL}""")
+t <> '' AND ({_CLEAN} IS NULL OR {_CLEAN} <> floor({_CLEAN})) AS failed, count(*) AS times FROM {_QUANTITY_SQL} GROUP BY t""")
 def q_format_integer(spark, sf_dir):
-    """The integer format: separators go, fractions fail."""
-    return _formatted(spark, "integer", NUMBERS)
+    """The integer format over written quantities: separators go, fractions fail."""
+    return _formatted(_quantities(spark, sf_dir), "integer")
 
 
-@query(f"""SELECT t, CASE WHEN t = '' OR {_CLEAN} IS NULL THEN t ELSE CAST(CAST(round_even({_CLEAN}, 3) AS DECIMAL(38,3)) AS VARCHAR) END AS v, t <> '' AND {_CLEAN} IS NULL AS failed FROM {_NUMBERS_SQL}""")
+@query(f"""SELECT t, CASE WHEN t = '' OR {_CLEAN} IS NULL THEN t ELSE CAST(CAST(round_even({_CLEAN}, 3) AS DECIMAL(38,3)) AS VARCHAR) END AS v, t <> '' AND {_CLEAN} IS NULL AS failed, count(*) AS times FROM {_QUANTITY_SQL} GROUP BY t""")
 def q_format_decimal3(spark, sf_dir):
-    """The decimal3 format: half to even."""
-    return _formatted(spark, "decimal3", NUMBERS)
+    """The decimal3 format over written quantities: half to even."""
+    return _formatted(_quantities(spark, sf_dir), "decimal3")
 
 
-DATES = ["2026-05-18", "2026.5.1", "20260231", "2/17/26", "17/2/2026", "13/13/26", "May 5", " 2026/1/2 ", "0/1/26", ""]
-_DATES_SQL = "(VALUES " + ", ".join(f"('{x}')" for x in DATES) + ") AS v(t)"
+# Order dates as they are written: ISO, dots without zeros, US, European, packed, out of range, by name, blank.
+_DATE = """CASE o_orderkey % 8 WHEN 0 THEN concat(y, '-', lpad(m, 2, '0'), '-', lpad(d, 2, '0')) WHEN 1 THEN concat(' ', y, '.', m, '.', d, ' ') WHEN 2 THEN concat(m, '/', d, '/', substring(y, 3, 2)) WHEN 3 THEN concat(d, '/', m, '/', y)
+WHEN 4 THEN concat(y, lpad(m, 2, '0'), lpad(d, 2, '0')) WHEN 5 THEN concat(y, '/', m, '/', CAST(CAST(d AS INTEGER) + 9 AS VARCHAR(9))) WHEN 6 THEN concat('May ', d) ELSE '' END"""
+_DATE_SQL = f"(SELECT {_DATE} AS t FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(month(o_orderdate) AS VARCHAR) AS m, CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders))"
 
 
-@query(f"""WITH p AS (SELECT t, trim(t) AS r FROM {_DATES_SQL}),
-g AS (SELECT t, CASE WHEN regexp_matches(r, '^\\d{{4}}[-./]\\d{{1,2}}[-./]\\d{{1,2}}$') THEN regexp_extract_all(r, '\\d+')
+@query(f"""WITH p AS (SELECT t, trim(t) AS r, count(*) AS times FROM {_DATE_SQL} GROUP BY t),
+g AS (SELECT t, times, CASE WHEN regexp_matches(r, '^\\d{{4}}[-./]\\d{{1,2}}[-./]\\d{{1,2}}$') THEN regexp_extract_all(r, '\\d+')
 WHEN regexp_matches(r, '^\\d{{8}}$') THEN [substring(r, 1, 4), substring(r, 5, 2), substring(r, 7, 2)]
 WHEN regexp_matches(r, '^\\d{{1,2}}[-./]\\d{{1,2}}[-./](\\d{{2}}|\\d{{4}})$') THEN (SELECT CASE WHEN CAST(x[1] AS INT) <= 12 THEN [y, x[1], x[2]] ELSE [y, x[2], x[1]] END
  FROM (SELECT regexp_extract_all(r, '\\d+') AS x, CASE WHEN length(regexp_extract_all(r, '\\d+')[3]) = 2 THEN '20' || regexp_extract_all(r, '\\d+')[3] ELSE regexp_extract_all(r, '\\d+')[3] END AS y)) END AS d FROM p)
-SELECT t, CASE WHEN ok THEN d[1] || lpad(d[2], 2, '0') || lpad(d[3], 2, '0') ELSE t END AS v, t <> '' AND NOT ok AS failed
+SELECT t, CASE WHEN ok THEN d[1] || lpad(d[2], 2, '0') || lpad(d[3], 2, '0') ELSE t END AS v, t <> '' AND NOT ok AS failed, times
 FROM (SELECT *, coalesce(CAST(d[2] AS INT) BETWEEN 1 AND 12 AND CAST(d[3] AS INT) BETWEEN 1 AND 31, false) AS ok FROM g)""")
 def q_format_date(spark, sf_dir):
-    """The date format: ranges are checked, calendars are not."""
-    return _formatted(spark, "date_yyyymmdd", DATES)
+    """The date format over written order dates: ranges are checked, calendars are not."""
+    part = lambda f: f("o_orderdate").cast("string")
+    dates = table(spark, sf_dir, "orders").select("o_orderkey", part(F.year).alias("y"), part(F.month).alias("m"), part(F.dayofmonth).alias("d"))
+    return _formatted(dates.select(F.expr(_DATE).cast("string").alias("t")), "date_yyyymmdd")
 
 
 @query("""SELECT p_partkey, trim(regexp_replace(p_name || ' (' || p_type || ')x（' || p_brand || '）', '\\s*[(（][^()（）]*[)）]', '', 'g')) AS v FROM part""")
