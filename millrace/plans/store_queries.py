@@ -74,3 +74,31 @@ def q_hint_check(spark, sf_dir):
     text = F.concat(F.lit('Read "'), w(1), F.lit('"\n and "'), w(2), w(3), F.lit(': 12,5".\n "'), w(4), F.lit(':  10972"\n e.g. : "'), w(5), w(6), F.lit('"'))
     found = hints.check_hints(docs, first.select("customer", text.alias("hints")))
     return found.select("doc_id", "verdict", F.size("found").alias("n_found"), F.size("partial").alias("n_partial"), F.array_join("missing", "|").alias("missing"), F.array_join("examples", "|").alias("examples"))
+
+
+@query("""WITH b AS (SELECT p_brand AS kunnr, p_type AS zbrand, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS name1, p_partkey AS o FROM part),
+k AS (SELECT s_suppkey AS book, 'Brand#' || (s_suppkey % 40) AS kunnr, CASE WHEN s_suppkey % 2 = 0 THEN 'red ring' ELSE 'hot gear' END AS name FROM supplier),
+m AS (SELECT CASE WHEN p_partkey % 70 = 0 THEN '' ELSE p_brand END AS kunnr, CASE WHEN p_partkey % 20 = 0 THEN p_type ELSE 'NEW' || p_partkey END AS zbrand, CASE p_partkey % 4 WHEN 0 THEN 'suppress' WHEN 1 THEN 'add' WHEN 2 THEN 'override' END AS action, CASE WHEN p_partkey % 30 = 5 THEN ' ' ELSE 'n' END AS note FROM part WHERE p_partkey % 5 = 0),
+g AS (SELECT * FROM m WHERE kunnr <> ''), r AS (SELECT kunnr, zbrand FROM b EXCEPT SELECT kunnr, zbrand FROM g WHERE action = 'suppress' UNION SELECT kunnr, zbrand FROM g WHERE action IN ('add', 'override')),
+u AS (SELECT DISTINCT book, kunnr, v FROM (SELECT book, kunnr, p_type AS v FROM k JOIN part ON p_partkey = book UNION ALL SELECT book, kunnr, 'NEW' || (book * 5) FROM k)),
+n AS (SELECT kunnr, arg_min(name1, o) AS name1 FROM b WHERE name1 <> '' GROUP BY 1)
+SELECT 10 AS "check", 'error' AS level, 'book ' || book AS place, 'not registered: ' || v AS message FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.kunnr = u.kunnr AND r.zbrand = u.v)
+UNION ALL SELECT 11, 'warn', 'book ' || book, 'no row of customer ' || kunnr FROM k WHERE kunnr NOT IN (SELECT kunnr FROM b) UNION ALL SELECT 15, 'warn', 'book ' || book, name || ' is ' || name1 || ' there' FROM k JOIN n ON n.kunnr = k.kunnr WHERE name1 <> name
+UNION ALL SELECT 16, 'report', 'book ' || book, c || ' to choose from' FROM k JOIN (SELECT kunnr, count(*) AS c FROM r GROUP BY 1) x ON x.kunnr = k.kunnr WHERE c > 1
+UNION ALL SELECT 17, 'error', kunnr || '/' || zbrand, 'unknown action or no note' FROM m WHERE action IS NULL OR trim(note) = '' UNION ALL SELECT 18, 'error', kunnr || '/' || zbrand, 'nothing to ' || action FROM g WHERE action IN ('override', 'suppress') AND NOT EXISTS (SELECT 1 FROM b WHERE b.kunnr = g.kunnr AND b.zbrand = g.zbrand)
+UNION ALL SELECT 19, 'report', kunnr || '/' || zbrand, coalesce(action, '') FROM m""")
+def q_reference_report(spark, sf_dir):
+    """Reference tables against rule books: values that aren't registered, customers without rows, other names, choices, and manual corrections."""
+    from ..operators.validation import reference_report
+
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    brands = part.select(F.col("p_brand").alias("kunnr"), F.col("p_type").alias("zbrand"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("name1"), k.alias("_ord"))
+    number = F.col("s_suppkey")
+    books = table(spark, sf_dir, "supplier").select(number.alias("book"), F.concat(F.lit("Brand#"), (number % 40).cast("string")).alias("customer_no"), F.when(number % 2 == 0, "red ring").otherwise("hot gear").alias("name"))
+    manual = part.filter("p_partkey % 5 = 0").select(
+        F.when(k % 70 == 0, "").otherwise(F.col("p_brand")).alias("kunnr"), F.when(k % 20 == 0, F.col("p_type")).otherwise(F.concat(F.lit("NEW"), k.cast("string"))).alias("zbrand"),
+        F.when(k % 4 == 0, "suppress").when(k % 4 == 1, "add").when(k % 4 == 2, "override").alias("action"), F.when(k % 30 == 5, " ").otherwise("n").alias("note"), k.alias("_ord"),
+    )
+    types = books.join(part, F.col("book") == k).select("book", "customer_no", F.col("p_type").alias("value"))
+    outputs = types.unionByName(books.select("book", "customer_no", F.concat(F.lit("NEW"), (F.col("book") * 5).cast("string")).alias("value")))
+    return reference_report(books, brands, manual, outputs)
