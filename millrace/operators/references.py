@@ -94,3 +94,37 @@ def catalog_page(rows: DataFrame, text: str = "", scope: str = "all", offset: in
     if scope != "all":
         rows = rows.filter(F.col("configured") == (scope == "configured"))
     return rows.orderBy(pad_left(F.col("kunnr"), 12), "kunnr").offset(offset).limit(max(1, min(500, limit)))
+
+
+def registered_codes(master: DataFrame, manual: DataFrame, keys: tuple[str, str] = ("kunnr", "zbrand")) -> DataFrame:
+    """The distinct pairs of keys after manual corrections: without suppressed ones, and with added ones. Corrections without a customer are none."""
+    who, _ = keys
+    named = manual.filter(~blank(F.col(who)))
+    gone = named.filter("action = 'suppress'").select(*keys).distinct()
+    return master.select(*keys).join(gone, list(keys), "left_anti").unionByName(named.filter("action = 'add'").select(*keys)).distinct()
+
+
+def customer_catalog(master: DataFrame, manual: DataFrame, books: DataFrame, text: str = "", scope: str = "all", sort: str = "name") -> DataFrame:
+    """Every customer of the brand table, sorted: kunnr, name, sap_name, code, brand_count, manual_count, configured, ready.
+
+    master: kunnr, name1, _ord. manual: kunnr. books: customer_no, name, code. The name is the book's, else the first that the table has, else the number in
+    brackets. text is looked for in name, sap_name, kunnr and code, without case; scope is all, configured (with a book) or unconfigured; sort is name, kunnr
+    (as a number of twelve digits), or ready (those first, by name).
+    """
+    named = F.when(~blank(F.col("name1")), F.col("_ord"))
+    rows = master.groupBy("kunnr").agg(F.coalesce(F.min_by("name1", named), F.lit("")).alias("sap_name"), F.count("*").alias("brand_count"))
+    own = books.filter(~blank(F.col("customer_no"))).select(F.col("customer_no").alias("kunnr"), F.col("name").alias("_name"), "code")
+    rows = rows.join(own, "kunnr", "left").join(manual.groupBy("kunnr").agg(F.count("*").alias("manual_count")), "kunnr", "left")
+    rows = rows.withColumns({"code": F.coalesce("code", F.lit("")), "manual_count": F.coalesce("manual_count", F.lit(0))})
+    name = F.when(~blank(F.col("_name")), F.col("_name")).when(F.col("sap_name") != "", F.col("sap_name")).otherwise(F.concat(F.lit("("), "kunnr", F.lit(")")))
+    rows = rows.withColumns({"name": name, "configured": F.col("code") != ""}).withColumn("ready", F.col("configured") | (F.col("brand_count") > 0))
+    if scope != "all":
+        rows = rows.filter(F.col("configured") == (scope == "configured"))
+    needle = text.strip().lower()
+    if needle:
+        test = F.lit(False)
+        for c in ("name", "sap_name", "kunnr", "code"):
+            test = test | F.contains(F.lower(c), F.lit(needle))
+        rows = rows.filter(test)
+    orders = {"kunnr": [pad_left(F.col("kunnr"), 12)], "ready": [~F.col("ready"), F.lower("name"), F.col("kunnr")], "name": [F.lower("name"), F.col("kunnr")]}
+    return rows.select("kunnr", "name", "sap_name", "code", "brand_count", "manual_count", "configured", "ready").orderBy(*orders[sort])

@@ -73,6 +73,16 @@ def upload_name(file_id: Column, name: Column) -> Column:
     return F.concat(file_id, F.lit("__"), F.when(safe == "", "upload").otherwise(safe))
 
 
+def extension(name: Column) -> Column:
+    """The lower-case extension of a file name, without its dot; '' if there is none."""
+    return F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
+
+
+def unexpected_type(ext: Column, allowed: Column) -> Column:
+    """UNEXPECTED_FILE_TYPE where a book names kinds of files (an array, in any case) and this is none of them; a warning, as the file is read all the same."""
+    return F.when((F.size(allowed) > 0) & ~F.array_contains(F.transform(allowed, F.lower), F.lower(ext)), "UNEXPECTED_FILE_TYPE")
+
+
 def is_transient(status: Column, error: Column) -> Column:
     """A failure that may pass: by its status (429, 500 and above), or by its name if there is none."""
     return F.when(status.isNotNull(), (status == 429) | (status >= 500)).otherwise(F.coalesce(error.rlike("Timeout|Connection"), F.lit(False)))

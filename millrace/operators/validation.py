@@ -11,6 +11,7 @@ from ..functions.expr import ExprError, check, lint, parse, paths
 from ..functions.formats import FORMATS
 from ..functions.text import OPS, blank
 from .engine import HEADER_KEYS, LINE_KEYS, SHIPMENT_KEYS
+from .references import registered_codes
 from .rules import COLUMN_RULES
 
 # The words of rule books, and the chunk policy's keys.
@@ -148,7 +149,7 @@ def reference_report(books: DataFrame, brands: DataFrame, manual: DataFrame, out
     key = ["kunnr", "zbrand"]
     held = brands.select(*key).distinct()
     good = manual.filter(~blank(F.col("kunnr")) & ~blank(F.col("zbrand")))
-    registered = held.join(good.filter("action = 'suppress'").select(*key).distinct(), key, "left_anti").unionByName(good.filter("action IN ('add', 'override')").select(*key)).distinct()
+    registered = registered_codes(brands, manual)
     mine = lambda df: df.withColumn("kunnr", F.col("customer_no"))
     unknown = mine(outputs).withColumn("zbrand", F.col("value")).filter(~blank(F.col("value"))).distinct().join(registered, key, "left_anti")
     named = brands.filter(~blank(F.col("name1"))).groupBy("kunnr").agg(F.min_by("name1", "_ord").alias("name1"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import hints
+from ..operators import hints, references, upkeep
 from ..sources import readers, sinks
 from .common import query, table
 
@@ -79,7 +79,7 @@ def q_hint_check(spark, sf_dir):
 @query("""WITH b AS (SELECT p_brand AS kunnr, p_type AS zbrand, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS name1, p_partkey AS o FROM part),
 k AS (SELECT s_suppkey AS book, 'Brand#' || (s_suppkey % 40) AS kunnr, CASE WHEN s_suppkey % 2 = 0 THEN 'red ring' ELSE 'hot gear' END AS name FROM supplier),
 m AS (SELECT CASE WHEN p_partkey % 70 = 0 THEN '' ELSE p_brand END AS kunnr, CASE WHEN p_partkey % 20 = 0 THEN p_type ELSE 'NEW' || p_partkey END AS zbrand, CASE p_partkey % 4 WHEN 0 THEN 'suppress' WHEN 1 THEN 'add' WHEN 2 THEN 'override' END AS action, CASE WHEN p_partkey % 30 = 5 THEN ' ' ELSE 'n' END AS note FROM part WHERE p_partkey % 5 = 0),
-g AS (SELECT * FROM m WHERE kunnr <> ''), r AS (SELECT kunnr, zbrand FROM b EXCEPT SELECT kunnr, zbrand FROM g WHERE action = 'suppress' UNION SELECT kunnr, zbrand FROM g WHERE action IN ('add', 'override')),
+g AS (SELECT * FROM m WHERE kunnr <> ''), r AS (SELECT kunnr, zbrand FROM b EXCEPT SELECT kunnr, zbrand FROM g WHERE action = 'suppress' UNION SELECT kunnr, zbrand FROM g WHERE action = 'add'),
 u AS (SELECT DISTINCT book, kunnr, v FROM (SELECT book, kunnr, p_type AS v FROM k JOIN part ON p_partkey = book UNION ALL SELECT book, kunnr, 'NEW' || (book * 5) FROM k)),
 n AS (SELECT kunnr, arg_min(name1, o) AS name1 FROM b WHERE name1 <> '' GROUP BY 1)
 SELECT 10 AS "check", 'error' AS level, 'book ' || book AS place, 'not registered: ' || v AS message FROM u WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.kunnr = u.kunnr AND r.zbrand = u.v)
@@ -102,3 +102,58 @@ def q_reference_report(spark, sf_dir):
     types = books.join(part, F.col("book") == k).select("book", "customer_no", F.col("p_type").alias("value"))
     outputs = types.unionByName(books.select("book", "customer_no", F.concat(F.lit("NEW"), (F.col("book") * 5).cast("string")).alias("value")))
     return reference_report(books, brands, manual, outputs)
+
+
+def _corrections(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Parts as a brand table of customers, and corrections of it."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    master = part.select((k % 300).cast("string").alias("kunnr"), F.concat_ws("/", "p_brand", "p_type").alias("zbrand"), F.when(k % 3 == 0, "").otherwise(F.col("p_name")).alias("name1"), k.alias("_ord"))
+    action = F.when(k % 4 == 0, "suppress").when(k % 4 == 1, "add").otherwise("override")
+    manual = part.filter("p_partkey % 6 < 2").select(
+        F.when(k % 70 == 0, "").otherwise((k % 300).cast("string")).alias("kunnr"), F.when(k % 4 == 1, F.concat(F.lit("N"), k.cast("string"))).otherwise(F.concat_ws("/", "p_brand", "p_type")).alias("zbrand"), F.lit("").alias("name1"), action.alias("action"), k.alias("_ord")
+    )
+    return master, manual
+
+
+_CORRECTIONS_SQL = """b AS (SELECT CAST(p_partkey % 300 AS VARCHAR) AS kunnr, p_brand || '/' || p_type AS zbrand, CASE WHEN p_partkey % 3 = 0 THEN '' ELSE p_name END AS name1, p_partkey AS o FROM part),
+m AS (SELECT CASE WHEN p_partkey % 70 = 0 THEN '' ELSE CAST(p_partkey % 300 AS VARCHAR) END AS kunnr, CASE WHEN p_partkey % 4 = 1 THEN 'N' || p_partkey ELSE p_brand || '/' || p_type END AS zbrand, CASE p_partkey % 4 WHEN 0 THEN 'suppress' WHEN 1 THEN 'add' ELSE 'override' END AS action FROM part WHERE p_partkey % 6 < 2)"""
+
+
+@query(f"WITH {_CORRECTIONS_SQL} SELECT kunnr, zbrand FROM (SELECT kunnr, zbrand FROM b EXCEPT SELECT kunnr, zbrand FROM m WHERE kunnr <> '' AND action = 'suppress') UNION SELECT kunnr, zbrand FROM m WHERE kunnr <> '' AND action = 'add'")
+def q_registered_codes(spark, sf_dir):
+    """The codes that each customer may get, after manual corrections."""
+    return references.registered_codes(*_corrections(spark, sf_dir))
+
+
+@query(f"""WITH {_CORRECTIONS_SQL}, k AS (SELECT CAST(s_suppkey AS VARCHAR) AS kunnr, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS name, 'C' || s_suppkey AS code FROM supplier WHERE s_suppkey % 2 = 0),
+c AS (SELECT b.kunnr, coalesce(arg_min(CASE WHEN name1 <> '' THEN name1 END, CASE WHEN name1 <> '' THEN o END), '') AS sap_name, count(*) AS brand_count FROM b GROUP BY 1), n AS (SELECT kunnr, count(*) AS manual_count FROM m GROUP BY 1),
+e AS (SELECT c.kunnr, CASE WHEN coalesce(k.name, '') <> '' THEN k.name WHEN sap_name <> '' THEN sap_name ELSE '(' || c.kunnr || ')' END AS name, sap_name, coalesce(code, '') AS code, brand_count, coalesce(manual_count, 0) AS manual_count FROM c LEFT JOIN k ON k.kunnr = c.kunnr LEFT JOIN n ON n.kunnr = c.kunnr),
+f AS (SELECT * FROM e WHERE contains(lower(name), 'r') OR contains(lower(sap_name), 'r') OR contains(lower(kunnr), 'r') OR contains(lower(code), 'r'))
+SELECT 'name' AS sort, * FROM (SELECT * FROM f ORDER BY lower(name), kunnr LIMIT 60) UNION ALL SELECT 'kunnr', * FROM (SELECT * FROM e WHERE code <> '' ORDER BY lpad(kunnr, 12, '0') LIMIT 60) UNION ALL SELECT 'ready', * FROM (SELECT * FROM e WHERE code = '' ORDER BY lower(name), kunnr LIMIT 60)""")
+def q_catalog_entries(spark, sf_dir):
+    """Pages of the customer catalog in its three orders: searched by name or code, with a rule book of their own, and without."""
+    master, manual = _corrections(spark, sf_dir)
+    number = F.col("s_suppkey")
+    books = table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0").select(number.cast("string").alias("customer_no"), F.when(number % 5 == 0, "").otherwise(F.col("s_name")).alias("name"), F.concat(F.lit("C"), number.cast("string")).alias("code"))
+    out = None
+    for sort, text, scope in (("name", "R", "all"), ("kunnr", "", "configured"), ("ready", "", "unconfigured")):
+        page = references.customer_catalog(master, manual, books, text, scope, sort).limit(60).select(F.lit(sort).alias("sort"), "kunnr", "name", "sap_name", "code", "brand_count", "manual_count")
+        out = page if out is None else out.unionByName(page)
+    return out
+
+
+@query("""SELECT doc_id, sha256('{"BSTKD": "' || doc_id || '", "LANG": ' || CASE WHEN lang IS NULL THEN 'null' ELSE '"' || lang || '"' END || ', "TEXT": ' || to_json(coalesce(text, '')) || '}') AS digest FROM documents""")
+def q_payload_digest(spark, sf_dir):
+    """The digest of a payload, whatever order its keys come in."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", sinks.payload_digest(sinks.sorted_json({"TEXT": F.coalesce("text", F.lit("")), "BSTKD": F.col("doc_id").cast("string"), "LANG": F.col("lang")})).alias("digest"))
+
+
+@query("""WITH p AS (SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) AS ext, CASE page_id % 3 WHEN 0 THEN ['HTML', 'pdf'] WHEN 1 THEN ['pdf'] ELSE [] END AS allowed FROM pages)
+SELECT page_id, ext, CASE WHEN page_id % 3 = 1 AND ext <> 'pdf' OR page_id % 3 = 0 AND ext NOT IN ('html', 'pdf') THEN 'UNEXPECTED_FILE_TYPE' END AS code FROM p""")
+def q_file_types(spark, sf_dir):
+    """A warning where a customer sends another kind of file than its rule book names; a book that names none takes all."""
+    pages, k = table(spark, sf_dir, "pages"), F.col("page_id") % 3
+    allowed = F.when(k == 0, F.array(F.lit("HTML"), F.lit("pdf"))).when(k == 1, F.array(F.lit("pdf"))).otherwise(F.array().cast("array<string>"))
+    ext = upkeep.extension(F.col("url"))
+    return pages.select("page_id", ext.alias("ext"), upkeep.unexpected_type(ext, allowed).alias("code"))

@@ -17,6 +17,13 @@ def payload_digest(body: Column) -> Column:
     return F.sha2(body, 256)
 
 
+def sorted_json(fields: Mapping[str, Column]) -> Column:
+    """Texts as one JSON object with its keys in order, `: ` and `, ` between parts, and letters outside ASCII as they are; null texts are null."""
+    quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.array(c)), r"(?s)\A\[(.*)\]\z", 1), F.lit("null"))
+    parts = [F.concat(quoted(F.lit(k)), F.lit(": "), F.when(c.isNull(), "null").otherwise(quoted(c))) for k, c in sorted(fields.items())]
+    return F.concat(F.lit("{"), F.array_join(F.array(*parts), ", "), F.lit("}"))
+
+
 def write_payloads(rows: DataFrame, path: str, columns: list[str], order: list, max_rows: int, by: list[str]) -> None:
     """Payload slices as JSON lines, each with its digest."""
     out = payload_chunks(rows, columns, order, max_rows, by)
