@@ -24,7 +24,7 @@ def ground(values: DataFrame, documents: DataFrame) -> DataFrame:
     joined = kept.groupBy("doc_id").agg(F.collect_list(F.struct(*whole, "_end")).alias("_values")).join(text, "doc_id").withColumn("_text", normalized(F.array_join("lines", "\n")))
     unknown = lambda v: v["part"] & part_backstop(normalized(v["value"]), F.col("_text"))
     judged = F.transform("_values", lambda v: F.struct(v.alias("v"), slice_text(F.col("lines"), v["src"], v["_end"]).alias("_hay"), unknown(v).alias("_unknown")))
-    rows = joined.select("doc_id", "_check", F.size("lines").alias("_size"), F.explode(judged).alias("_j")).select("doc_id", "_check", "_size", "_j.v.*", "_j._hay", "_j._unknown")
+    rows = joined.select("doc_id", "_check", F.size("lines").alias("_size"), F.explode_outer(judged).alias("_j")).select("doc_id", "_check", "_size", "_j.v.*", "_j._hay", "_j._unknown")
     rows = rows.withColumn("_found", anchor(F.col("value"), F.col("_hay")))
     within = (F.col("src") >= 1) & (F.col("src") <= F.col("_end")) & (F.col("_end") <= F.col("_size"))
     astray = F.col("lo").isNotNull() & ((F.col("src") < F.col("lo")) | (F.col("_end") > F.col("hi")))
@@ -33,4 +33,5 @@ def ground(values: DataFrame, documents: DataFrame) -> DataFrame:
     evidence = F.when(F.col("_check") & wrong, told(F.lit("error"), "EVIDENCE_NOT_FOUND")).when(F.col("_check") & (F.col("_found") == "fuzzy"), told(F.lit("warn"), "EVIDENCE_WEAK"))
     level = confidence_issue(F.col("confidence"), F.coalesce("required", F.lit(False)))
     issues = F.filter(F.array(evidence, F.when(level.isNotNull(), told(level, "LOW_CONFIDENCE"))), lambda x: x.isNotNull())
-    return rows.select("doc_id", "path", F.explode(issues).alias("_i")).select("doc_id", "path", "_i.level", "_i.code")
+    # Not explode: the filter that is inferred of it would look at every value a second time.
+    return rows.select("doc_id", "path", F.explode_outer(issues).alias("_i")).filter("_i IS NOT NULL").select("doc_id", "path", "_i.level", "_i.code")

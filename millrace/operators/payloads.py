@@ -121,8 +121,8 @@ def chunk_range(node: Column) -> tuple[Column, Column]:
 
 
 def read_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Replaces the payload by `_v` (a VARIANT, null where it can't be read) and `problem` (why, or null). What follows doesn't filter by these:
-    a filter would be pushed below the parsing, and parse once for each part that `problem` looks at."""
+    """Replaces the payload by `_v` (a VARIANT, null where it can't be read) and `problem` (why, or null). What follows doesn't filter by these,
+    and explodes with explode_outer: a filter, and the one that is inferred of an explode, would be pushed below the parsing, and parse again for each use."""
     rest = [c for c in payloads.columns if c != column]
     rows = payloads.select(*rest, F.try_parse_json(column).alias("_v"))
     rows = rows.withColumn("problem", payload_problem(F.col("_v")))
@@ -146,7 +146,7 @@ def payload_rows(read: DataFrame, extra_fields: Sequence[str] | None = None) ->
     docs, header = _typed(docs, "_h", HEADER_KEYS, extra_fields)
     totals = struct({"line_count": place(t, "line_count"), **{k: F.try_variant_get(part(t, k), "$", "string") for k in ("total_qty", "total_amount")}})
     own = ["header", "totals", "split"]
-    docs = docs.select(*rest, struct(header).alias("header"), totals.alias("totals"), "split", F.explode("_units").alias("_u"))
+    docs = docs.select(*rest, struct(header).alias("header"), totals.alias("totals"), "split", F.explode_outer("_units").alias("_u"))
     docs = docs.withColumn("_s", F.col("_u.s")).withColumn("_s_values", leaves(F.array(*(part(F.col("_s"), k) for k in SHIPMENT_KEYS))))
     shipment = {"src": place(F.col("_s"), "src"), "src_end": place(F.col("_s"), "src_end"), **{k: F.get("_s_values", F.lit(i)) for i, k in enumerate(SHIPMENT_KEYS)}}
     docs = docs.select(*rest, *own, F.col("_u.i").alias("ship_idx"), F.when(F.col("_u.i") > 0, struct(shipment)).alias("shipment"), F.col("_u.lines").alias("_lines"))
@@ -174,7 +174,7 @@ def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
         F.transform(_list(s, "lines"), lambda x, j: node(F.format_string("shipments[%d].lines[%d].", i + 1, j + 1), "line", i + 1, j + 1, x)),
     )
     nodes = F.concat(F.array(node(F.lit("header."), "header", zero, zero, part(v, "header"))), lines, F.flatten(F.transform(_list(v, "shipments"), ship)))
-    rows = read.select(key, F.explode(nodes).alias("_n")).select(key, "_n.*")
+    rows = read.select(key, F.explode_outer(nodes).alias("_n")).select(key, "_n.*")
     n = F.col("node")
     given = part(n, "extra", "map<string,variant>")
     names = lambda keys, extra: F.concat(F.array(*map(F.lit, keys)), extra)
@@ -189,7 +189,7 @@ def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
         "_names": F.when(own, names(LINE_KEYS, extra_names)).when(head, names(HEADER_KEYS, extra_names)).otherwise(names(SHIPMENT_KEYS, no_names)),
         "_given": F.when(own, values(LINE_KEYS, extra)).when(head, values(HEADER_KEYS, extra)).otherwise(values(SHIPMENT_KEYS, none)),
     })
-    rows = rows.withColumn("_x", F.explode(F.arrays_zip("_names", leaves(F.col("_given"), {k: F.col(f"_a_{k}") for k in ANCHORS}).alias("_leaf"))))
+    rows = rows.withColumn("_x", F.explode_outer(F.arrays_zip("_names", leaves(F.col("_given"), {k: F.col(f"_a_{k}") for k in ANCHORS}).alias("_leaf"))))
     path = F.concat("path", "_x._names")
     out = rows.select(key, path.alias("path"), F.regexp_extract(path, r"[^.]*\z", 0).alias("leaf"), "ship_idx", "line_no", "_x._leaf.*", "lo", "hi")
     return out.filter("value IS NOT NULL")
@@ -221,7 +221,7 @@ def structure_issues(read: DataFrame, key: str = "doc_id") -> DataFrame:
         F.array(told(F.col("_count") != F.size("_l"), "totals.line_count", "TOTAL_MISMATCH"), told(F.col("_printed") != added, "totals.total_qty", "TOTAL_MISMATCH"), told(F.size("_l") == 0, "lines", "NO_LINES")),
         bare,
     )
-    return rows.select(key, F.explode(F.when(F.col("_good"), F.filter(found, lambda x: x.isNotNull()))).alias("_i")).select(key, "_i.*")
+    return rows.select(key, F.explode_outer(F.when(F.col("_good"), F.filter(found, lambda x: x.isNotNull()))).alias("_i")).filter("_i IS NOT NULL").select(key, "_i.*")
 
 
 def ground_payloads(read: DataFrame, documents: DataFrame) -> DataFrame:
