@@ -436,4 +436,4 @@ def test_pipeline(spark):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns, name
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
-    assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} == {"pipeline" if q == "pipeline" else re.match(r"op\d+_", q)[0] for q in registry.queries()}
+    assert {"pipeline", *(f"op{n}_" for n in range(1, 14))} == {"pipeline" if q == "pipeline" else re.match(r"op\d+_", q)[0] for q in registry.queries()}
