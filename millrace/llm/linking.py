@@ -18,6 +18,8 @@ from .common import written
 ONE_TASK = 500_000
 #: Items up to which a last bucket is held as one array, and how many of its neighbours there an item is compared with.
 SMALL, NEAR = 64, 5
+#: Items up to which a first bucket of grouped_by_rarity() is compared whole.
+WHOLE = 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -113,3 +115,49 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
     if more.isEmpty():
         return label
     return written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+
+
+def _beside(rows: DataFrame, size: str, alike: Callable[[Column, Column], Column], near: int) -> DataFrame:
+    """(a, b): the rows (bucket, item, label, size) with the next `near` of their bucket by size, but for those of one label."""
+    own = F.struct(F.col(size), F.xxhash64("item").alias("h"), "item", "label")
+    lists = rows.groupBy("bucket").agg(F.sort_array(F.collect_list(own)).alias("all"))
+    worth = lambda x: lambda y: (x["label"] != y["label"]) & alike(x[size], y[size])
+    pairs = F.transform("all", lambda x, i: F.transform(F.filter(F.slice("all", i + 2, near), worth(x)), lambda y: _pair(x["item"], y["item"])))
+    return lists.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b")
+
+
+def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple]) -> DataFrame:
+    """(node, component) of items that are linked; items that are linked with nothing may be absent.
+
+    shared: the written crowded() of items with a column `size`. alike: of two sizes, whether their items are worth a look. prepare: from the
+    items (item) that may be compared, the functions verify and last as for grouped(). Buckets of up to WHOLE items are compared whole. The hub of a larger
+    one is the item that shares such buckets with the most others, and its items, if they then still are of several groups, go to the buckets of
+    `last`. There items meet the hub and, up to SMALL items, the next NEAR of about their size; larger buckets that still are open have a second hub.
+    """
+    few = shared.filter(F.col("n") <= WHOLE).withColumn("label", F.col("item"))
+    many = shared.filter(F.col("n") > WHOLE)
+    central = many.groupBy("item").agg(F.sum("n").alias("met"))
+    hubs = many.join(central, "item").groupBy("bucket").agg(F.max(F.struct("met", "item", size)).alias("hub"))
+    with_hubs = _with_hubs(many, hubs, "item <> hub.item", alike(F.col(size), F.col(f"hub.{size}")))
+    pairs = written(_beside(few, size, alike, WHOLE - 1).unionByName(with_hubs).distinct())
+    verify, last = prepare(written(pairs.select(F.explode(F.array("a", "b")).alias("item")).unionByName(many.select("item")).distinct()))
+    label = written(components(verify(pairs)))
+    marked = written(many.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", size, F.coalesce("component", "item").alias("label")))
+    split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    some = written(marked.join(split, "bucket", "left_semi").select("item", size).distinct())
+    rare = written(last(some.select("item")).join(some, "item"))
+    for turn in range(2):
+        rows = rare.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", size, F.coalesce("component", "item").alias("label"))
+        order = F.struct(F.xxhash64("item", F.lit(turn)), "item", "label", size)
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi")
+        dealt = rows.join(sizes.filter(F.col("n") > (SMALL if turn else 1)).select("bucket", "n", "hub"), "bucket")
+        hub = dealt.filter("label <> hub.label").filter(alike(F.col(size), F.col(f"hub.{size}"))).select(_pair(F.col("item"), F.col("hub.item")).alias("p")).select("p.a", "p.b")
+        more = written(verify(written((hub if turn else hub.unionByName(_beside(dealt.filter(F.col("n") <= SMALL), size, alike, NEAR))).distinct())))
+        if more.isEmpty():
+            break
+        label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    return label
