@@ -17,8 +17,8 @@ from ..functions.text import OPS, blank, casefold, group_number, java_regex, nor
 Resolve = Callable[[str], Column | None]
 #: Reference rows up to which a contains-map is compiled into a CASE chain.
 CHAIN_ROWS = 256
-#: Entries up to which a contains-map tries all of them on a source, and the length of the runs by which more are found.
-FEW_ENTRIES, GRAM = 1000, 3
+#: Entries up to which a contains-map tries all of them on a source, and the lengths of the runs by which more are found.
+FEW_ENTRIES, GRAMS = 1000, (3, 8, 16)
 
 
 def source_of(spec: Mapping, resolve: Resolve) -> Column:
@@ -194,31 +194,43 @@ def csv_map_table(rows: DataFrame, reference: DataFrame, source: Column, name: s
 
 
 def grams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters of a text; an empty array if it is shorter."""
-    chars = F.split(text, "")
-    runs = F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.array_join(F.slice(chars, i + 1, n), ""))
-    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """The hashes of the distinct runs of n characters of a text; an empty array if it is shorter."""
+    runs = F.transform(F.sequence(F.lit(0), F.length(text) - n), lambda i: F.xxhash64(F.substring(text, i + 1, F.lit(n))))
+    return F.when(F.length(text) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<long>"))
 
 
 def first_contained(sources: DataFrame, entries: DataFrame) -> DataFrame:
     """(_one_src, _best): the least entry of each source that holds its needle, or equals it; sources without one are left out.
 
     sources: _one_src, _hay (the text that is searched), both distinct. entries: e, a struct that sorts as entries are tried, with n (a needle, not
-    empty) and w (equality). A needle is filed under the one of its grams (runs of GRAM characters, or the whole of a shorter needle) that the fewest
-    sources have, so that common runs draw no candidates; sources come by their grams, and what meets is verified. No side is gathered or broadcast
-    beyond Spark's own size estimates.
+    empty) and w (equality). Of equal needles the least entry alone is looked for. A needle is filed under one of its grams, the one that the fewest needles
+    have; grams are runs of the greatest length of GRAMS that its needle has, so that they tell long needles apart however many there are. Sources
+    come by their grams, and what meets is verified, so that equal hashes do no harm. Needles below the least length, of which alphabets have few, are tried
+    on every source up to FEW_ENTRIES, and found as runs beyond. Joins are by merging, as neither side is known to be small.
     """
-    sizes = [n for n in range(1, GRAM + 1)] if entries.filter((F.length("e.n") < GRAM) & ~F.col("e.w")).limit(1).count() else [GRAM]
-    sources = sources.filter("_hay IS NOT NULL").withColumn("_id", F.sha2("_hay", 256))
-    parts = entries.filter("NOT e.w").select("e", F.explode(F.when(F.length("e.n") < GRAM, F.array("e.n")).otherwise(grams(F.col("e.n"), GRAM))).alias("_gram"))
-    held = sources.select("_id", F.explode(F.concat(*(grams(F.col("_hay"), n) for n in sizes))).alias("_gram")).join(parts.select("_gram").distinct(), "_gram", "left_semi")
-    often = held.groupBy("_gram").agg(F.count("*").alias("_n"))
-    filed = parts.join(often, "_gram").groupBy("e").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
-    met = held.join(filed, "_gram").select("_id", "e")
+    entries = entries.groupBy("e.n", "e.w").agg(F.min("e").alias("e")).select("e")
+    sources = sources.filter("_hay IS NOT NULL").withColumn("_id", F.xxhash64("_hay"))
+    parts, size = entries.filter("NOT e.w"), F.length("e.n")
+    short = parts.filter(size < GRAMS[0])
+    few = short.limit(FEW_ENTRIES + 1).count() <= FEW_ENTRIES
+    sizes = GRAMS if few else (*range(1, GRAMS[0]), *GRAMS)
+    longest = lambda n, more: (size >= n) & (size < more) if more else size >= n
+    own = F.coalesce(*(F.when(longest(n, more), grams(F.col("e.n"), n)) for n, more in zip(sizes, (*sizes[1:], None))))
+    runs = parts.filter(size >= sizes[0]).select("e", F.explode(own).alias("_gram"))
+    often = runs.groupBy("_gram").agg(F.count("*").alias("_n"))
+    filed = runs.join(often.hint("merge"), "_gram").groupBy("e").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
+    held = sources.select("_id", F.explode(F.concat(*(grams(F.col("_hay"), n) for n in sizes))).alias("_gram"))
+    met = held.join(filed.hint("merge"), "_gram").select("_id", "e")
     texts = sources.select("_id", "_one_src", "_hay")
-    inside = met.join(texts, "_id").filter(F.contains("_hay", F.col("e.n"))).select("_one_src", "e")
-    same = texts.join(entries.filter("e.w"), F.col("_hay") == F.col("e.n")).select("_one_src", "e")
-    return inside.unionByName(same).groupBy("_one_src").agg(F.min("e").alias("_best"))
+    found = met.join(texts.hint("merge"), "_id").filter(F.contains("_hay", F.col("e.n"))).select("_one_src", "e")
+    same = texts.join(entries.filter("e.w").hint("merge"), F.col("_hay") == F.col("e.n")).select("_one_src", "e")
+    found = found.unionByName(same)
+    if few:
+        table = short.agg(F.array_sort(F.collect_list("e")).alias("_entries"))
+        hit = F.get(F.filter("_entries", lambda e: F.contains(F.col("_hay"), e["n"])), F.lit(0))
+        tried = texts.crossJoin(F.broadcast(table)).select("_one_src", hit.alias("e"))
+        found = found.unionByName(tried.filter("e IS NOT NULL"))
+    return found.groupBy("_one_src").agg(F.min("e").alias("_best"))
 
 
 def first_row(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -77,7 +77,7 @@ def q_csv_map_large(spark, sf_dir):
     short = F.when(F.col("p_partkey") % 500 == 7, (F.col("p_partkey") % 10).cast("string")).otherwise(F.concat_ws(" ", "p_name", "p_partkey"))
     held = part.select(F.col("p_partkey").alias("_ord"), short.alias("needle"), F.col("p_brand").alias("v"), F.lit("contains").alias("mode"))
     equal = part.filter("p_partkey % 10 = 3").select(F.col("p_partkey").alias("_ord"), F.concat(F.lit("order of "), F.concat_ws(" ", "p_name", "p_partkey"), F.lit("1")).alias("needle"), F.lit("whole").alias("v"), F.lit("equals").alias("mode"))
-    lines = table(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = table(spark, sf_dir, "lineitem").join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     source = F.concat(F.lit("Order of "), F.concat_ws(" ", "p_name", "l_partkey"), (F.col("l_linenumber") % 3).cast("string"))
     out = rules.csv_map_table(lines, held.unionByName(equal), source, "code", "needle", "v", mode_column="mode", longest_first=True, insensitive=True)
     return out.groupBy("l_orderkey", "l_linenumber", "code").agg(F.count("*").alias("times"))
