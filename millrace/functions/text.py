@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 #: Unicode white space with the four ASCII separators.
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: The characters that SPACE matches.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, rf"{SPACE}+\z|\A{SPACE[4:]}+", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def collapse_spaces(c: Column) -> Column:

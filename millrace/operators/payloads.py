@@ -62,10 +62,12 @@ def anchors(node: Column) -> dict[str, Column]:
 
 def leaves(values: Column, anchor: Mapping[str, Column] | None = None) -> Column:
     """An array of variants of either form as an array of structs; what a value's own anchor leaves out is taken from `anchor`. A missing
-    value is null. The steps name what later ones use more than once, so that the expression stays small."""
-    known = F.transform(values, lambda v: struct({"v": v, "m": mark(v)}))
-    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "inner": F.when(x["m"] == "OB", part(x["v"], "value")).otherwise(x["v"])}))
-    known = F.transform(known, lambda x: struct({"v": x["v"], "m": x["m"], "text": scalar_text(x["inner"], mark(x["inner"]))}))
+    value is null, and nothing is worked out for it. The steps name what later ones use more than once, so that the expression stays small."""
+    there = lambda x, fields: F.when(x.isNotNull(), struct(fields))
+    known = F.transform(values, lambda v: there(v, {"v": v, "m": mark(v)}))
+    known = F.transform(known, lambda x: there(x, {"v": x["v"], "m": x["m"], "inner": F.when(x["m"] == "OB", part(x["v"], "value")).otherwise(x["v"])}))
+    known = F.transform(known, lambda x: there(x, {"v": x["v"], "m": x["m"], "inner": x["inner"], "kind": F.when(x["m"] == "OB", mark(x["inner"])).otherwise(x["m"])}))
+    known = F.transform(known, lambda x: there(x, {"v": x["v"], "m": x["m"], "text": scalar_text(x["inner"], x["kind"])}))
 
     def whole_leaf(x: Column) -> Column:
         fields = {"value": x["text"]}
@@ -168,28 +170,30 @@ def payload_values(read: DataFrame, key: str = "doc_id") -> DataFrame:
     v = F.col("_v")
     node = lambda path, kind, i, j, n: struct({"path": path, "kind": F.lit(kind), "ship_idx": i.cast("int"), "line_no": j.cast("int"), "node": n})
     zero = F.lit(0)
-    lines = F.transform(_list(v, "lines"), lambda x, i: node(F.format_string("lines[%d].", i + 1), "line", zero, i + 1, x))
+    lines = F.transform(_list(v, "lines"), lambda x, i: node(F.concat(F.lit("lines["), (i + 1).cast("string"), F.lit("].")), "line", zero, i + 1, x))
     ship = lambda s, i: F.concat(
-        F.array(node(F.format_string("shipments[%d].", i + 1), "shipment", i + 1, zero, s)),
-        F.transform(_list(s, "lines"), lambda x, j: node(F.format_string("shipments[%d].lines[%d].", i + 1, j + 1), "line", i + 1, j + 1, x)),
+        F.array(node(F.concat(F.lit("shipments["), (i + 1).cast("string"), F.lit("].")), "shipment", i + 1, zero, s)),
+        F.transform(_list(s, "lines"), lambda x, j: node(F.concat(F.lit("shipments["), (i + 1).cast("string"), F.lit("].lines["), (j + 1).cast("string"), F.lit("].")), "line", i + 1, j + 1, x)),
     )
     nodes = F.concat(F.array(node(F.lit("header."), "header", zero, zero, part(v, "header"))), lines, F.flatten(F.transform(_list(v, "shipments"), ship)))
     rows = read.select(key, F.explode_outer(nodes).alias("_n")).select(key, "_n.*")
     n = F.col("node")
-    given = part(n, "extra", "map<string,variant>")
-    names = lambda keys, extra: F.concat(F.array(*map(F.lit, keys)), extra)
-    values = lambda keys, extra: F.concat(F.array(*(part(n, k) for k in keys)), extra)
     own, head = F.col("kind") == "line", F.col("kind") == "header"
-    no_names, none = F.array().cast("array<string>"), F.array().cast("array<variant>")
-    extra_names = F.coalesce(F.transform(F.map_keys(given), lambda k: F.concat(F.lit("extra."), k)), no_names)
-    extra = F.coalesce(F.map_values(given), none)
     lo, hi = chunk_range(n)
+    # What a node has, and not every key that it may have.
+    entries = lambda fields, names: F.filter(F.map_entries(fields), lambda e: e["key"].isin(*names))
+    none = F.array().cast("array<struct<key:string,value:variant>>")
+    rows = rows.withColumns({**{f"_a_{k}": F.when(own, c) for k, c in anchors(n).items()}, "lo": F.when(own, lo), "hi": F.when(own, hi), "_fields": F.try_variant_get(n, "$", "map<string,variant>")})
+    fields = F.col("_fields")
+    given = F.coalesce(F.map_entries(F.try_variant_get(fields["extra"], "$", "map<string,variant>")), none)
     rows = rows.withColumns({
-        **{f"_a_{k}": F.when(own, c) for k, c in anchors(n).items()}, "lo": F.when(own, lo), "hi": F.when(own, hi),
-        "_names": F.when(own, names(LINE_KEYS, extra_names)).when(head, names(HEADER_KEYS, extra_names)).otherwise(names(SHIPMENT_KEYS, no_names)),
-        "_given": F.when(own, values(LINE_KEYS, extra)).when(head, values(HEADER_KEYS, extra)).otherwise(values(SHIPMENT_KEYS, none)),
+        "_own": F.coalesce(F.when(own, entries(fields, LINE_KEYS)).when(head, entries(fields, HEADER_KEYS)).otherwise(entries(fields, SHIPMENT_KEYS)), none),
+        "_more": F.when(own | head, given).otherwise(none),
     })
-    rows = rows.withColumn("_x", F.explode_outer(F.arrays_zip("_names", leaves(F.col("_given"), {k: F.col(f"_a_{k}") for k in ANCHORS}).alias("_leaf"))))
+    extra = lambda e: F.concat(F.lit("extra."), e["key"])
+    rows = rows.withColumns({"_names": F.concat(F.transform("_own", lambda e: e["key"]), F.transform("_more", extra)), "_given": F.concat(F.transform("_own", lambda e: e["value"]), F.transform("_more", lambda e: e["value"]))})
+    rows = rows.withColumn("_leaves", leaves(F.col("_given"), {k: F.col(f"_a_{k}") for k in ANCHORS}))
+    rows = rows.withColumn("_x", F.explode_outer(F.filter(F.arrays_zip("_names", F.col("_leaves").alias("_leaf")), lambda x: x["_leaf"]["value"].isNotNull())))
     path = F.concat("path", "_x._names")
     out = rows.select(key, path.alias("path"), F.regexp_extract(path, r"[^.]*\z", 0).alias("leaf"), "ship_idx", "line_no", "_x._leaf.*", "lo", "hi")
     return out.filter("value IS NOT NULL")
