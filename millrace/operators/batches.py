@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +69,9 @@ def parse_batch(files: DataFrame, payloads: DataFrame, documents: DataFrame, boo
     file without rows and errors is done.
     """
     own = files.select("batch_id", F.col("file_id").alias("doc_id"), "place", "error")
-    read = read_payloads(own.filter("error IS NULL").select("doc_id").join(payloads.withColumnRenamed("file_id", "doc_id"), "doc_id", "left"))
-    documents = documents.withColumnRenamed("file_id", "doc_id")
+    # Both are used many times: kept on the executors' disks, they are made once, and no filter goes below the parsing.
+    read = read_payloads(own.filter("error IS NULL").select("doc_id").join(payloads.withColumnRenamed("file_id", "doc_id"), "doc_id", "left")).persist(StorageLevel.DISK_ONLY)
+    documents = documents.withColumnRenamed("file_id", "doc_id").persist(StorageLevel.DISK_ONLY)
     v, t = F.col("_v"), part(F.col("_v"), "totals")
     ships = F.coalesce(part(v, "shipments", "array<variant>"), F.array().cast("array<variant>"))
     many = lambda node: F.coalesce(F.size(part(node, "lines", "array<variant>")), F.lit(0))
