@@ -16,8 +16,10 @@ from .common import written
 
 #: Edges up to which they are held in one partition, where no step needs a shuffle (16 bytes each).
 ONE_TASK = 500_000
-#: Items up to which a last bucket is held as one array, and how many of its neighbours there an item is compared with.
-SMALL, NEAR = 64, 5
+#: Items from which a last bucket meets hubs before it is compared whole, and how many of them.
+SMALL, HUBS = 64, 2
+#: Items of a tile: in larger buckets, each two tiles meet in a place of their own.
+TILE = 512
 #: Items up to which a first bucket of grouped_by_rarity() is compared whole.
 WHOLE = 16
 
@@ -67,7 +69,7 @@ def _with_hubs(rows: DataFrame, hubs: DataFrame, differ: str, alike: Column) ->
     return found.select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b")).distinct()
 
 
-def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = (), alike: Column | None = None, last: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column], Column]], verify: Callable[[DataFrame], DataFrame], keep: tuple[str, ...] = (), alike: Column | None = None, last: Callable[[DataFrame], DataFrame] | None = None, worth: Callable[[Column, Column], Column] = lambda x, y: F.lit(True)) -> DataFrame:
     """(node, component) of items that are linked; items that are linked with nothing may be absent.
 
     items: (item, keys) and the columns to keep, the keys of each item as an array of distinct longs. shared: the written crowded() of
@@ -77,9 +79,8 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
     The hub of a first bucket is the item that shares its buckets with the most others, the likeliest to be what copies come from; that
     of a finer bucket any one, by hash. A link is found if both of its items are linked with a common hub, or if one is the hub.
 
-    last: from items (item) of first buckets that still hold several groups after all levels, further buckets (item, bucket), such that two items
-    that are linked share one. In these, items are compared with the hub and, up to SMALL items, with their next NEAR neighbours too, so that a bucket of
-    NEAR + 1 items is compared whole.
+    last: from items (item) of first buckets that still hold several groups after all levels, further buckets (item, bucket) and other columns, such that two
+    items that are linked share one. These are compared whole, but for pairs that worth() rules out by these columns.
     """
     alike = F.lit(True) if alike is None else alike
     central = shared.groupBy("item").agg(F.sum("n").alias("met"))
@@ -103,24 +104,54 @@ def grouped(items: DataFrame, shared: DataFrame, finer: list[Callable[[Column],
         return label
     marked = written(shared.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", F.coalesce("component", "item").alias("label")))
     split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
-    open_items = written(marked.join(split, "bucket", "left_semi").select("item", "label").distinct())
-    rows = last(open_items.select("item")).join(open_items, "item")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("item"), "item", "label")).alias("hub"))
-    dealt = written(rows.join(sizes.filter("lo <> hi").select("bucket", "size", "hub"), "bucket"))
-    with_hub = dealt.filter("label <> hub.label").select(F.least("item", "hub.item").alias("a"), F.greatest("item", "hub.item").alias("b"))
-    small = dealt.filter(F.col("size") <= SMALL).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("item").alias("h"), "item", "label"))).alias("all"))
-    lags = F.flatten(F.transform("all", lambda x, i: F.transform(F.slice("all", i + 2, NEAR), lambda y: F.struct(F.least(x["item"], y["item"]).alias("a"), F.greatest(x["item"], y["item"]).alias("b"), (x["label"] != y["label"]).alias("differ")))))
-    beside = small.select(F.explode(F.filter(lags, lambda p: p["differ"])).alias("p")).select("p.a", "p.b")
-    more = written(verify(written(with_hub.unionByName(beside).distinct())))
-    if more.isEmpty():
-        return label
-    return written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    open_items = written(marked.join(split, "bucket", "left_semi").select("item").distinct())
+    return linked_whole(written(last(open_items)), label, worth, verify)
 
 
 def _pair(x: Column, y: Column) -> Column:
     return F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
 
 
+def every_pair(rows: DataFrame, worth: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): every two items of a bucket that differ in label and that worth() lets through. rows: (bucket, item, label, held) and others; `held` is how many rows the bucket has.
+
+    Buckets of more than TILE items are dealt to tiles by hash, and each two tiles meet under a key of their own: no task holds more than a tile of either
+    side, and a large bucket is spread over all tasks.
+    """
+    tiles = F.ceil(F.col("held") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("item"), tiles).cast("int")
+    cells = rows.select("bucket", F.struct(*(c for c in rows.columns if c not in ("bucket", "held"))).alias("x"), own.alias("i"), tiles.alias("tiles"))
+    a = cells.select("bucket", "x", "i", F.explode(F.sequence("i", F.col("tiles") - 1)).alias("j"))
+    b = cells.select("bucket", F.col("x").alias("y"), F.col("i").alias("j"), F.explode(F.sequence(F.lit(0), "i")).alias("i"))
+    once = (F.col("i") < F.col("j")) | (F.col("x.item") < F.col("y.item"))
+    met = a.join(b.hint("merge"), ["bucket", "i", "j"]).filter(once & F.expr("x.label <> y.label") & worth(F.col("x"), F.col("y")))
+    return met.select(_pair(F.col("x.item"), F.col("y.item")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def linked_whole(rows: DataFrame, label: DataFrame, worth: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component): label, with all links between items of a bucket, of rows (bucket, item) and what worth() needs of two items.
+
+    Large buckets meet their hub first, HUBS times over, which leaves few groups in most. Then every two items of a bucket that are of different groups
+    still are compared, in buckets of any size.
+    """
+    for turn in range(HUBS + 1):
+        labelled = rows.join(label.withColumnRenamed("node", "item"), "item", "left").withColumn("label", F.coalesce("component", "item")).drop("component")
+        order = F.struct(F.xxhash64("item", F.lit(turn)), *labelled.drop("bucket").columns)
+        sizes = labelled.groupBy("bucket").agg(F.count("*").alias("held"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi")
+        if turn < HUBS:
+            dealt = labelled.join(sizes.filter(F.col("held") > SMALL).select("bucket", "hub"), "bucket").withColumn("x", F.struct(*labelled.columns))
+            pairs = dealt.filter(F.expr("label <> hub.label") & worth(F.col("x"), F.col("hub"))).select(_pair(F.col("item"), F.col("hub.item")).alias("p")).select("p.a", "p.b").distinct()
+        else:
+            pairs = every_pair(written(labelled.join(sizes.select("bucket", "held"), "bucket")), worth)
+        pairs = written(pairs)
+        if pairs.isEmpty():
+            continue
+        more = written(verify(pairs))
+        if not more.isEmpty():
+            label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    return label
+
+
 def _beside(rows: DataFrame, size: str, alike: Callable[[Column, Column], Column], near: int) -> DataFrame:
     """(a, b): the rows (bucket, item, label, size) with the next `near` of their bucket by size, but for those of one label."""
     own = F.struct(F.col(size), F.xxhash64("item").alias("h"), "item", "label")
@@ -136,7 +167,7 @@ def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Col
     shared: the written crowded() of items with a column `size`. alike: of two sizes, whether their items are worth a look. prepare: from the
     items (item) that may be compared, the functions verify and last as for grouped(). Buckets of up to WHOLE items are compared whole. The hub of a larger
     one is the item that shares such buckets with the most others, and its items, if they then still are of several groups, go to the buckets of
-    `last`. There items meet the hub and, up to SMALL items, the next NEAR of about their size; larger buckets that still are open have a second hub.
+    `last`, which are compared whole.
     """
     few = shared.filter(F.col("n") <= WHOLE).withColumn("label", F.col("item"))
     many = shared.filter(F.col("n") > WHOLE)
@@ -149,15 +180,4 @@ def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Col
     marked = written(many.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", size, F.coalesce("component", "item").alias("label")))
     split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     some = written(marked.join(split, "bucket", "left_semi").select("item", size).distinct())
-    rare = written(last(some.select("item")).join(some, "item"))
-    for turn in range(2):
-        rows = rare.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", size, F.coalesce("component", "item").alias("label"))
-        order = F.struct(F.xxhash64("item", F.lit(turn)), "item", "label", size)
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(order).alias("hub")).filter("lo <> hi")
-        dealt = rows.join(sizes.filter(F.col("n") > (SMALL if turn else 1)).select("bucket", "n", "hub"), "bucket")
-        hub = dealt.filter("label <> hub.label").filter(alike(F.col(size), F.col(f"hub.{size}"))).select(_pair(F.col("item"), F.col("hub.item")).alias("p")).select("p.a", "p.b")
-        more = written(verify(written((hub if turn else hub.unionByName(_beside(dealt.filter(F.col("n") <= SMALL), size, alike, NEAR))).distinct())))
-        if more.isEmpty():
-            break
-        label = written(components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-    return label
+    return linked_whole(written(last(some.select("item")).join(some, "item")), label, lambda x, y: alike(x[size], y[size]), verify)

@@ -127,7 +127,8 @@ def _shingles(k: int):
 
 
 def rare_buckets(items: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(item, bucket): the shingles of each item under which it must meet any item that it is linked with.
+    """(item, bucket, n, rest): the shingles of each item under which it must meet any item that it is linked with; the size of its set, and how many of
+    its shingles are no rarer than this one and not its alone.
 
     A set of n shingles has more than n - percent / 100 * n in common with such an item, so that the two share one of the n - ceil(percent * n / 100) + 1
     rarest of either. Those that no other item has come first, as the rarest of all, and are no buckets: an item with more of its own is linked with none.
@@ -137,7 +138,13 @@ def rare_buckets(items: DataFrame, texts: DataFrame, shingle: int, percent: int)
     often = rows.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
     shared = rows.join(often, "bucket").groupBy("item", "n").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("shared"))
-    return shared.filter(prefix > 0).select("item", F.explode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("x")).select("item", "x.bucket")
+    first = shared.filter(prefix > 0).select("item", "n", F.size("shared").alias("all"), F.posexplode(F.slice("shared", F.lit(1), prefix.cast("int"))).alias("at", "x"))
+    return first.select("item", "x.bucket", "n", (F.col("all") - F.col("at")).alias("rest"))
+
+
+def may_link(percent: int):
+    """Whether two items of a bucket of rare_buckets() can be linked with this as their rarest common shingle, by what of both sets is no rarer."""
+    return lambda x, y: F.least(x["rest"], y["rest"]) * (100 + percent) >= (x["n"] + y["n"]) * percent
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -175,7 +182,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         return likely.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_confirm(shingle, percent), "a long, b long")
 
     items = minima.select(F.col("doc_id").alias("item"), F.col("bands").alias("keys"))
-    groups = grouped(items, shared, [joined_keys(2), joined_keys(3)], verify, last=lambda some: rare_buckets(some, texts, shingle, percent))
+    groups = grouped(items, shared, [joined_keys(2), joined_keys(3)], verify, last=lambda some: rare_buckets(some, texts, shingle, percent), worth=may_link(percent))
     least = member.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component")).groupBy("doc_id").agg(F.min("component").alias("component"))
     out = base.select("doc_id", "n_shingles").join(least, "doc_id", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
