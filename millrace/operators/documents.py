@@ -123,14 +123,16 @@ def merge_pieces(pieces: DataFrame, items: DataFrame, doc: str = "doc_id", unit:
     good = pieces.filter(~F.col("failed"))
     read = good.join(items, [doc, "start", "end"]).withColumns({"lo": F.col("start"), "hi": F.col("tail_end")})
     lines = merge_chunks(read, doc, unit)
-    place = [doc, unit, "chunk_index", "start", "end"]
-    counts = read.groupBy(*place).agg(F.count("*").alias("_n"))
-    bare = good.join(counts, place, "left_anti")
+    # All issues from one join and one window: a piece without items, and one that failed, is a row too.
+    told = pieces.filter("failed IS NOT NULL").withColumn("_good", F.when(~F.col("failed"), True))
+    told = told.join(items.select(doc, "start", "end", "pos", "src", F.lit(True).alias("_good"), F.lit(True).alias("_item")), [doc, "start", "end", "_good"], "left")
     tail = F.coalesce((F.col("src") > F.col("end")) & (F.col("src") <= F.col("tail_end")), F.lit(False))
-    again = Window.partitionBy(doc, unit, "src").orderBy("chunk_index", "start", "pos")
-    twice = read.filter(~tail & F.col("src").isNotNull()).withColumn("_rn", F.row_number().over(again)).filter("_rn > 1")
-    issue = lambda df, level, code: df.select(*place, F.lit(level).alias("severity"), F.lit(code).alias("code"))
-    return lines, issue(pieces.filter("failed"), "error", "CHUNK_FAILED").unionByName(issue(bare, "warn", "EMPTY_CHUNK")).unionByName(issue(twice, "warn", "DUPLICATE_LINE"))
+    told = told.withColumn("_counts", F.col("_item").isNotNull() & ~tail & F.col("src").isNotNull())
+    again = Window.partitionBy(doc, unit, "src", "_counts").orderBy("chunk_index", "start", "pos")
+    twice = F.col("_counts") & (F.row_number().over(again) > 1)
+    code = F.when(F.col("failed"), "CHUNK_FAILED").when(F.col("_item").isNull(), "EMPTY_CHUNK").when(twice, "DUPLICATE_LINE")
+    found = told.withColumn("code", code).filter("code IS NOT NULL")
+    return lines, found.select(doc, unit, "chunk_index", "start", "end", F.when(F.col("failed"), "error").otherwise("warn").alias("severity"), "code")
 
 
 def chunk_issues(chunks: DataFrame, items: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -20,14 +20,15 @@ def _chunks(spark, sf_dir) -> DataFrame:
 
 
 def _answers(chunks: DataFrame) -> DataFrame:
-    """An answer for each range that may be asked for."""
-    half = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
-    ranges = asked = chunks.select("doc_id", F.col("start").alias("a"), F.col("end").alias("b"))
+    """An answer for each range that may be asked for, from one reading of the chunks."""
+    level = ranges = F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))
+    middle = lambda x: F.floor((x["a"] + x["b"]) / 2).cast("int")
+    cut = lambda x: F.array(F.struct(x["a"].alias("a"), middle(x).alias("b")), F.struct((middle(x) + 1).alias("a"), x["b"].alias("b")))
     for _ in range(DEPTH):
-        cut = asked.filter("a < b")
-        asked = cut.select("doc_id", "a", half.alias("b")).unionByName(cut.select("doc_id", (half + 1).alias("a"), "b"))
-        ranges = ranges.unionByName(asked)
-    return ranges.select("doc_id", F.col("a").alias("start"), F.col("b").alias("end"), F.expr(_STATE).alias("state"))
+        level = F.flatten(F.transform(F.filter(level, lambda x: x["a"] < x["b"]), cut))
+        ranges = F.concat(ranges, level)
+    asked = chunks.select("doc_id", F.explode(ranges).alias("x")).select("doc_id", "x.*")
+    return asked.select("doc_id", F.col("a").alias("start"), F.col("b").alias("end"), F.expr(_STATE).alias("state"))
 
 
 def _items(answers: DataFrame) -> DataFrame:
