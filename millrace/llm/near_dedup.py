@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import attach, fresh, written
 from .linking import crowded, grouped, joined_keys
-from .tokens import LOWER, U64, distinct_in, mixed, slices
+from .tokens import LOWER, U64, distinct_in, mixed, pieces, slices
 
 SHINGLE = 5
 PERCENT = 80
@@ -46,7 +46,7 @@ def _sketch(k: int, bands: int, rows: int):
     seeds = mixed(np.arange(7, 7 + bands, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids = batch.column(0)
             for part in slices(batch.column(1).to_pylist(), fold=LOWER):
                 doc, value = shingle_sets(part, k)
@@ -116,7 +116,7 @@ def _shingles(k: int):
     """(item, n, shingles): the size of each text's shingle set, and the set."""
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             for part in slices(batch.column(1).to_pylist(), fold=LOWER):
                 doc, value = shingle_sets(part, k)
                 edges = np.searchsorted(doc, np.arange(part.texts + 1))

@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy arrays.
 
-A word is a run of bytes other than the six ASCII white-space characters. Texts are handled in slices of a few MB, so that memory is
+A word is a run of bytes other than the six ASCII white-space characters. Texts are handled in slices of a quarter MB, so that memory is
 bounded by a slice or by one document.
 """
 
@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
@@ -102,6 +104,17 @@ def slices(texts: list[str | None], fold: bytes | None = None) -> Iterator[Slice
         yield Slice(part, at)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the texts of one take SLICE_BYTES at most, or are one text: what is made of a batch takes memory for no more. Nothing is copied."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def distinct_in(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (group, value) pairs, sorted."""
     order = np.lexsort((values, groups))
