@@ -19,6 +19,12 @@ def strip(c: Column) -> Column:
     return F.trim(c, F.lit(SPACES))
 
 
+def strip_column(c: Column) -> Column:
+    """strip() of a column, or of a field of one: texts that begin and end with a visible ASCII character, as most do, aren't searched for spaces."""
+    visible = lambda x: F.ascii(x).between(33, 126)
+    return F.when(visible(c) & visible(F.substring(c, -1, 1)), c).otherwise(strip(c))
+
+
 def collapse_spaces(c: Column) -> Column:
     return F.regexp_replace(c, rf"{SPACE}+", " ")
 

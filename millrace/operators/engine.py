@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import expr as X
-from ..functions.formats import apply_format
+from ..functions.formats import add_formats, apply_format
 from ..functions.numbers import format_number, validator_number
-from ..functions.text import blank, normalize, or_blank, pad_left, strip
+from ..functions.text import blank, normalize, or_blank, pad_left, strip_column
 from . import rules as R
 
 # The vocabulary of extractions.
@@ -28,6 +28,8 @@ SHIPMENT = "struct<src:int,src_end:int," + ",".join(f"{k}:{VALUE}" for k in SHIP
 HEADER = "struct<" + ",".join(f"{k}:{VALUE}" for k in HEADER_KEYS) + f",extra:map<string,{VALUE}>>"
 #: The typed tree of one document's extraction, as parsed from JSON.
 PAYLOAD = f"struct<header:{HEADER},lines:array<{LINE}>,shipments:array<{SHIPMENT}>,totals:struct<line_count:int,total_qty:string,total_amount:string>>"
+#: Bytes of a method's code that the JVM compiles at most. The fused code of a rule book's fields is larger.
+JIT_BYTES = 8000
 ISSUE = "struct<field:string,severity:string,code:string,message:string>"
 
 
@@ -53,12 +55,24 @@ class Scope:
     """Names to Columns: meta.x, header.x, shipment.x, line.x (and .extra.x), _derived, field.X, rule names and rule.key."""
 
     def __init__(self, meta: Mapping[str, str], rows: DataFrame):
-        self.meta, self.named = dict(meta), {}
+        self.meta, self.named, self.once = dict(meta), {}, {}
         self.keys = {h: set(rows.schema[h].dataType.fieldNames()) for h in ("header", "shipment", "line") if h in rows.columns}
         kinds = {h: rows.schema[h].dataType["extra"].dataType for h in ("header", "line") if "extra" in self.keys.get(h, ())}
         self.extra = {h: set(kind.fieldNames()) for h, kind in kinds.items() if isinstance(kind, StructType)}
 
+    def computed_once(self, rows: DataFrame) -> DataFrame:
+        """rows with a column for each value of header, shipment and line, which paths are resolved to from now on. Those without use
+        are pruned; those used once stand in their place again."""
+        plain = lambda h: [f.name for f in rows.schema[h].dataType if isinstance(f.dataType, StructType) and "value" in f.dataType.fieldNames()]
+        paths = [f"{h}.{k}" for h in self.keys for k in plain(h) if k not in ("src", "src_end", "lines", "extra")]
+        names = {p: f"_c{i}" for i, p in enumerate(paths)}
+        rows = rows.withColumns({name: self(p) for p, name in names.items()})
+        self.once = {p: F.col(name) for p, name in names.items()}
+        return rows
+
     def __call__(self, path: str) -> Column | None:
+        if path in self.once:
+            return self.once[path]
         head, _, rest = path.partition(".")
         if head == "meta":
             return F.lit(str(self.meta[rest])) if rest in self.meta else None
@@ -69,7 +83,7 @@ class Scope:
                 return or_blank(F.col(f"{head}.extra")[rest[6:]]["value"])
             if head == "line" and rest == "line_no":
                 return F.col("line_no").cast("string")
-            return or_blank(strip(F.col(f"{head}.{rest}.value"))) if rest in self.keys.get(head, ()) - {"src", "src_end", "lines", "extra"} else None
+            return or_blank(strip_column(F.col(f"{head}.{rest}.value"))) if rest in self.keys.get(head, ()) - {"src", "src_end", "lines", "extra"} else None
         if path in self.named:
             return self.named[path]
         if head in self.named and rest:
@@ -104,7 +118,9 @@ def severity(miss: Mapping | None, test: Column) -> Column:
 
 
 def _kept(issues: list[Column]) -> Column:
-    return F.filter(F.array(*issues), lambda x: x["code"].isNotNull()) if issues else F.array().cast(f"array<{ISSUE}>")
+    """The issues that are there, in order; a concatenation and no filter by a lambda, which would be interpreted for each row."""
+    none = F.array().cast(f"array<{ISSUE}>")
+    return F.concat(none, *(F.when(x["code"].isNotNull(), F.array(x)).otherwise(none) for x in issues))
 
 
 def _when(test: Column, what: Column) -> Column:
@@ -119,7 +135,7 @@ def render(rows: DataFrame, values: Mapping[str, Column], specs: Mapping[str, Ma
     rows = rows.withColumns(dict(values))
     rows = rows.withColumns({n: F.when(blank(F.col(n)), other(specs[n]["fallback"])).otherwise(F.col(n)) for n in have("fallback") if specs[n]["fallback"]})
     formats = [n for n in have("format") if specs[n]["format"]]
-    rows = rows.withColumns({f"_f_{n}": F.struct(*(c.alias(a) for c, a in zip(apply_format(specs[n]["format"], F.col(n)), ("text", "failed"), strict=True))) for n in formats})
+    rows = add_formats(rows, {n: specs[n]["format"] for n in formats})
     rows = rows.withColumns({n: F.col(f"_f_{n}.text") for n in formats})
     free = lambda n: blank(F.col(n)) & ~F.col(f"_f_{n}.failed") if n in formats else blank(F.col(n))
     rows = rows.withColumns({n: F.when(free(n), F.lit(str(specs[n]["default"]))).otherwise(F.col(n)) for n in have("default")})
@@ -132,6 +148,14 @@ def build(documents: DataFrame, book: Mapping) -> DataFrame:
     return build_rows(split_orders(documents), book)
 
 
+def compiled_stages(rows: DataFrame) -> DataFrame:
+    """rows, in a session that gives up fusing a stage whose code has a method beyond JIT_BYTES: fused, it would be interpreted for each row."""
+    conf = rows.sparkSession.conf
+    if int(conf.get("spark.sql.codegen.hugeMethodLimit", "65535")) > JIT_BYTES:
+        conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_BYTES))
+    return rows
+
+
 def build_rows(rows: DataFrame, book: Mapping, keep_columns: Sequence[str] = ()) -> DataFrame:
     """Order rows: doc_id, row_id, group, line_no, keep_columns of rows, one string column for each send field, issues.
 
@@ -140,6 +164,10 @@ def build_rows(rows: DataFrame, book: Mapping, keep_columns: Sequence[str] = ())
     likely missed.
     """
     scope = Scope(book.get("meta", {}), rows)
+    # Numbered while rows are narrow: the sort carries no rendered fields.
+    order = Window.partitionBy("doc_id").orderBy("ship_idx", "line_no")
+    rows = compiled_stages(rows).withColumn("row_id", F.format_string("r_%04d", F.row_number().over(order)))
+    rows = scope.computed_once(rows)
     found: list[str] = []
 
     def keep(issues: list[Column]) -> None:
@@ -227,11 +255,10 @@ def build_rows(rows: DataFrame, book: Mapping, keep_columns: Sequence[str] = ())
     rows, late = render(rows, values, {n: book["fields"].get(n, {}) for n in specs}, scope)
     keep([issues[n] for n in specs for issues in (early, late) if n in issues])
     rows = recompute_derived(rows, book, derived, scope)
-    rows = rows.withColumn("issues", _kept([*map(F.col, found), *row_validation(specs)]))
+    keep(row_validation(specs))
+    rows = rows.withColumn("issues", _kept([*map(F.col, found)]))
 
     rows = rows.withColumn("group", group_label(scope, book.get("split", {}).get("group_label")))
-    order = Window.partitionBy("doc_id").orderBy("ship_idx", "line_no")
-    rows = rows.withColumn("row_id", F.format_string("r_%04d", F.row_number().over(order)))
     for check, options in book.get("validation", {}).items():
         if check in CHECKS:
             rows = CHECKS[check](rows, options)
@@ -304,7 +331,7 @@ def likely_missed(rows: DataFrame, names: list[str], doc: str = "doc_id") -> Dat
     for name in names:
         empty = F.sum(blank(F.col(name)).cast("int")).over(whole)
         most = F.count("*").over(whole) - empty > empty
-        free = ~F.exists("issues", lambda x: x["field"] == name)
+        free = ~F.coalesce(F.array_contains(F.col("issues.field"), name), F.lit(False))
         test = blank(F.col(name)) & most & free
         rows = rows.withColumn("issues", F.concat("issues", F.when(test, F.array(issue(name, "warn", "LIKELY_MISSED", name))).otherwise(F.array().cast(f"array<{ISSUE}>"))))
     return rows
