@@ -3,8 +3,8 @@
 Lines are normalised to their words (lower case, parted by anything but letters and digits). Equal lines are one class. Classes are joined
 on pigeonhole blocks: k changed words leave one of the k + 1 stretches between them whole, so lines of edit similarity 0.8 and five words
 or more share a block of two neighbouring words. Of a line's blocks, the BLOCKS first by length and hash are its keys, where letters of a word count up to MOST_LETTERS.
-Small buckets are compared whole, the lines of others with the bucket's hub, by edit similarity over words. Lines whose buckets then still hold several
-groups meet again under their rarest blocks, as many as edits can break and one. Of each connected group one occurrence stays: the first by doc_id (null
+Small buckets are compared whole, the lines of others with the bucket's hub, by edit similarity over words. Larger buckets that then still hold
+several groups are compared whole too, but for pairs whose marks (parities of words, a few longs a line) differ by more than edits can turn. Of each connected group one occurrence stays: the first by doc_id (null
 last) and line number.
 
 The blocks are of the words, not of a SimHash: a changed word turns a seventh of a ten-word line's 64 SimHash bits, so that no split of
@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach, fresh, written
-from .linking import crowded, grouped_by_rarity
+from .linking import WHOLE, grouped_by_rarity, met
 
 SIMILARITY = 0.8
 LEAST_WORDS = 5
 BLOCKS = 5
-APART = r"[^\p{L}\p{N}]+"
+#: Longs of a line's marks.
+MARKS = 8
+#: Letters of ASCII and digits are named first, as classes of single characters are looked up in a table.
+APART = r"[^abcdefghijklmnopqrstuvwxyz0123456789\p{L}\p{N}]+"
 #: A character of a script that is written without blanks is a word of its own, in lines that consist of such characters mostly.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: Letters of a word that count towards the length of a block.
@@ -60,33 +63,38 @@ def blocks_of(codes: Column, make) -> Column:
 
 
 def block_keys(words: Column, blocks: int = BLOCKS) -> Column:
-    """The keys of a line, from word_keys: sums of those of two neighbouring words, the greatest ones, so those of the longest blocks."""
-    return F.slice(F.array_distinct(F.slice(F.sort_array(blocks_of(words, lambda x, y: x + y), asc=False), 1, 4 * blocks)), 1, blocks)
+    """The keys of a line (int), from word_keys: of two neighbouring words, the greatest sums, so those of the longest blocks, hashed."""
+    greatest = F.slice(F.array_distinct(F.slice(F.sort_array(blocks_of(words, lambda x, y: x + y), asc=False), 1, 4 * blocks)), 1, blocks)
+    return F.array_distinct(F.transform(greatest, lambda x: F.hash(x)))
 
 
 def line_table(docs: DataFrame, least_words: int = LEAST_WORDS, blocks: int = BLOCKS) -> DataFrame:
     """(doc_id, line_no, k1, k2, words, keys) of every line that says something: two independent hashes and the number of its words, and
     its keys, none if it has under least_words words."""
     lines = raw_lines(docs, word_keys).filter("size(line) > 0")
-    keys = F.when(F.size("line") >= least_words, block_keys(F.col("line"), blocks)).otherwise(F.array().cast("array<long>"))
+    keys = F.when(F.size("line") >= least_words, block_keys(F.col("line"), blocks)).otherwise(F.array().cast("array<int>"))
     return lines.select("doc_id", "line_no", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), F.size("line").alias("words"), keys.alias("keys"))
 
 
-def rare_blocks(lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(item, bucket), from (item, codes): the blocks under which a line must meet any other that it is alike with.
+def word_marks(lines: DataFrame) -> DataFrame:
+    """(item, m0, m1, ...), from (item, codes): which of 64 * MARKS classes of words a line has an odd number of words of, a bit each.
 
-    An edit breaks two blocks of a line, a word more in the other line one. So a line of n words keeps all its blocks but
-    s = max(2 e(n), 2 e(n + 1) - 1) in a line alike, with e(n) edits allowed at n words, and the two share one of the s + 1 rarest of
-    either. Blocks that no other line has come first, as the rarest of all, and are no buckets.
+    A changed word turns two of these bits at most, a word more or less one.
     """
-    edits = lambda n: F.floor(F.lit(1 - similarity) * n + 1e-9)
-    spare = F.greatest(2 * edits(F.size("codes")), 2 * edits(F.size("codes") + 1) - 1)
-    sets = lines.select("item", spare.alias("spare"), F.array_distinct(blocks_of(F.col("codes"), lambda x, y: F.xxhash64(x, y))).alias("blocks"))
-    rows = sets.select("item", (F.col("spare") + 1 - F.size("blocks")).alias("lacking"), F.explode("blocks").alias("bucket"))
-    often = rows.groupBy("bucket").agg(F.count("*").alias("often")).filter("often > 1")
-    shared = rows.join(often, "bucket").groupBy("item", "lacking").agg(F.sort_array(F.collect_list(F.struct("often", "bucket"))).alias("shared"))
-    first = (F.col("lacking") + F.size("shared")).cast("int")
-    return shared.filter(first > 0).select("item", F.explode(F.slice("shared", F.lit(1), first)).alias("x")).select("item", "x.bucket")
+    words = lines.select("item", F.explode("codes").alias("code")).select("item", F.hash("code").alias("h"))
+    of = [F.expr(f"bit_xor(if(pmod(shiftright(h, 6), {MARKS}) = {i}, shiftleft(1L, h & 63), 0L))").alias(f"m{i}") for i in range(MARKS)]
+    return words.groupBy("item").agg(*of)
+
+
+def may_be_alike(similarity: float):
+    """Whether as few bits of word_marks differ as the edits allowed turn: of e edits, with d words more in one line, d at least turn one bit only."""
+
+    def worth(x: Column, y: Column) -> Column:
+        turned = sum((F.bit_count(x[f"m{i}"].bitwiseXOR(y[f"m{i}"])) for i in range(1, MARKS)), F.bit_count(x["m0"].bitwiseXOR(y["m0"])))
+        edits = F.floor(F.lit(1 - similarity) * F.greatest(x["words"], y["words"]) + 1e-9)
+        return turned <= 2 * edits - F.abs(x["words"] - y["words"])
+
+    return worth
 
 
 def word_string(codes: Column) -> Column:
@@ -106,8 +114,8 @@ def coded_lines(docs: DataFrame, classes: DataFrame, items: DataFrame) -> DataFr
     return both.select("item", word_codes(F.col("line")).alias("codes")).dropDuplicates(["item"])
 
 
-def _compared(docs: DataFrame, classes: DataFrame, similarity: float):
-    """From items: what verifies their pairs by edit similarity over words (1 - edits / words of the longer line), and their rare blocks."""
+def _compared(docs: DataFrame, classes: DataFrame, shared: DataFrame, similarity: float):
+    """From items: what verifies their pairs by edit similarity over words (1 - edits / words of the longer line), and their larger buckets with their marks."""
     most = f"cast(floor({1 - similarity:.6f} * greatest(length(code_a), length(code_b)) + 1e-9) as int)"
 
     def prepare(items: DataFrame):
@@ -120,7 +128,11 @@ def _compared(docs: DataFrame, classes: DataFrame, similarity: float):
             b = coded.select(F.col("item").alias("b"), F.col("code").alias("code_b"))
             return pairs.join(b, "b").join(a, "a").filter(f"levenshtein(code_a, code_b, {most}) >= 0").select("a", "b")
 
-        return verify, lambda some: rare_blocks(attach(lines, some, ["item"], "left_semi"), similarity)
+        def larger(some: DataFrame) -> DataFrame:
+            marks = word_marks(attach(lines, some, ["item"], "left_semi"))
+            return shared.filter(F.col("n") > WHOLE).select("bucket", "item").join(marks, "item")
+
+        return verify, larger
 
     return prepare
 
@@ -138,9 +150,9 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, least_words: i
     first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "line_no")).alias("first")
     classes = written(lines.groupBy("k1", "k2").agg(first, F.count("*").alias("n"), F.first("words").alias("words"), F.first("keys").alias("keys")))
     items = classes.filter("size(keys) > 0").select(F.col("k1").alias("item"), "words", "keys")
-    shared = written(crowded(items, F.col("keys"), ("words",)))
+    shared = written(met(items, F.col("keys"), ("words",)))
     alike = lambda x, y: F.abs(x - y) <= F.floor(F.lit(1 - similarity) * F.greatest(x, y) + 1e-9)
-    groups = grouped_by_rarity(shared, "words", alike, _compared(docs, classes, similarity))
+    groups = grouped_by_rarity(shared, "words", alike, _compared(docs, classes, shared, similarity), may_be_alike(similarity))
     merged = attach(classes.select("k1", "k2", "n", "first"), groups.withColumnRenamed("node", "k1"), ["k1"], "inner")
     firsts = merged.groupBy("component").agg(F.min("first").alias("stays"))
     fuzzy = written(merged.join(firsts, "component").select("k1", "k2", "n", "first", "stays"))

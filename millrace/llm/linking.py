@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -63,6 +63,12 @@ def crowded(items: DataFrame, keys: Column, keep: tuple[str, ...] = ()) -> DataF
     return rows.join(counts, "bucket").select("bucket", "item", *keep, "n")
 
 
+def met(items: DataFrame, keys: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """As crowded(), by one shuffle of the rows and not two: worth it where most rows are alone with their key."""
+    rows = items.select("item", *keep, F.explode(keys).alias("bucket"))
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1").select("bucket", "item", *keep, "n")
+
+
 def _with_hubs(rows: DataFrame, hubs: DataFrame, differ: str, alike: Column) -> DataFrame:
     """(a, b): the items of each bucket with its hub."""
     found = rows.join(hubs, "bucket").filter(F.expr(differ) & alike)
@@ -161,13 +167,13 @@ def _beside(rows: DataFrame, size: str, alike: Callable[[Column, Column], Column
     return lists.select(F.explode(F.flatten(pairs)).alias("p")).select("p.a", "p.b")
 
 
-def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple]) -> DataFrame:
+def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Column], Column], prepare: Callable[[DataFrame], tuple], worth: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, component) of items that are linked; items that are linked with nothing may be absent.
 
     shared: the written crowded() of items with a column `size`. alike: of two sizes, whether their items are worth a look. prepare: from the
     items (item) that may be compared, the functions verify and last as for grouped(). Buckets of up to WHOLE items are compared whole. The hub of a larger
     one is the item that shares such buckets with the most others, and its items, if they then still are of several groups, go to the buckets of
-    `last`, which are compared whole.
+    `last`, which are compared whole, but for pairs that alike() or worth() rules out; `last` may return the larger buckets themselves, with what worth() needs.
     """
     few = shared.filter(F.col("n") <= WHOLE).withColumn("label", F.col("item"))
     many = shared.filter(F.col("n") > WHOLE)
@@ -180,4 +186,5 @@ def grouped_by_rarity(shared: DataFrame, size: str, alike: Callable[[Column, Col
     marked = written(many.join(label.withColumnRenamed("node", "item"), "item", "left").select("bucket", "item", size, F.coalesce("component", "item").alias("label")))
     split = marked.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
     some = written(marked.join(split, "bucket", "left_semi").select("item", size).distinct())
-    return linked_whole(written(last(some.select("item")).join(some, "item")), label, lambda x, y: alike(x[size], y[size]), verify)
+    both = lambda x, y: alike(x[size], y[size]) & (worth(x, y) if worth else F.lit(True))
+    return linked_whole(written(last(some.select("item")).join(some, "item")), label, both, verify)
