@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .engine import ISSUE, build_rows
-from .payloads import ground_payloads, mark, part, payload_rows, read_payloads, whole
+from .engine import GROUP_KEYS, HEADER_KEYS, ISSUE, LINE_KEYS, SHIPMENT_KEYS, build_rows
+from .payloads import ground_payloads, lines_of, listed, mark, part, payload_rows, read_payloads, whole
 from .review import dedupe_issues
 
 #: How many reasons a file without rows tells.
@@ -57,6 +57,22 @@ def told_order(path: Column) -> Column:
     return F.when(F.startswith(path, F.lit("header.")), 0).when(F.startswith(path, F.lit("totals.")), 2).when(path == "lines", 3).when(path.rlike(r"\Ashipments\[\d+\]\.lines\z"), 4).otherwise(1)
 
 
+def texts_in(book: object) -> Iterator[str]:
+    """Every text of a rule book, names too."""
+    if isinstance(book, str):
+        yield book
+    elif isinstance(book, Mapping):
+        yield from (text for pair in book.items() for x in pair for text in texts_in(x))
+    elif isinstance(book, Sequence):
+        yield from (text for x in book for text in texts_in(x))
+
+
+def keys_used(book: Mapping) -> set[str]:
+    """The keys of extractions that a rule book may read: those that stand in any of its texts, and what labels a group."""
+    texts = "\n".join(texts_in(book))
+    return {k for k in (*HEADER_KEYS, *SHIPMENT_KEYS, *LINE_KEYS, "extra") if k in texts} | set(GROUP_KEYS)
+
+
 def parse_batch(files: DataFrame, payloads: DataFrame, documents: DataFrame, book: Mapping, extra_fields: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The rows of batches, and the state of their files.
 
@@ -70,30 +86,35 @@ def parse_batch(files: DataFrame, payloads: DataFrame, documents: DataFrame, boo
     """
     own = files.select("batch_id", F.col("file_id").alias("doc_id"), "place", "error")
     # Both are used many times: kept on the executors' disks, they are made once, and no filter goes below the parsing.
-    read = read_payloads(own.filter("error IS NULL").select("doc_id").join(payloads.withColumnRenamed("file_id", "doc_id"), "doc_id", "left")).persist(StorageLevel.DISK_ONLY)
+    # Files and payloads are dealt by document, whatever their sizes: a broadcast of payloads would leave them where few partitions of files are.
+    sent = payloads.withColumnRenamed("file_id", "doc_id").hint("merge")
+    parsed = read_payloads(own.filter("error IS NULL").select("doc_id").join(sent, "doc_id", "left"))
+    # For counting, lines are read as what builds nothing of them.
+    v, bare = F.col("_v"), "array<boolean>"
+    ships = listed(v, "shipments", f"array<struct<lines:{bare}>>")
+    n_rows = F.when(F.size(ships) > 0, F.aggregate(ships, F.lit(0), lambda a, x: a + F.size(lines_of(x, bare)))).otherwise(F.size(listed(v, "lines", bare))).cast("long")
+    parsed = parsed.withColumns({"_n_rows": n_rows, "_split": F.size(listed(v, "shipments", bare)) > 0}).persist(StorageLevel.DISK_ONLY)
+    n_rows, split, t = F.col("_n_rows"), F.col("_split"), part(v, "totals")
+    read = parsed.drop("_n_rows", "_split")
     documents = documents.withColumnRenamed("file_id", "doc_id").persist(StorageLevel.DISK_ONLY)
-    v, t = F.col("_v"), part(F.col("_v"), "totals")
-    ships = F.coalesce(part(v, "shipments", "array<variant>"), F.array().cast("array<variant>"))
-    many = lambda node: F.coalesce(F.size(part(node, "lines", "array<variant>")), F.lit(0))
-    n_rows = F.when(F.size(ships) > 0, F.aggregate(ships, F.lit(0), lambda a, x: a + many(x))).otherwise(many(v)).cast("long")
-    split = F.coalesce(F.size(ships) > 0, F.lit(False))
 
     text = lambda k: F.coalesce(F.try_variant_get(part(t, k), "$", "string"), F.lit("")).alias(f"doc_{k}")
     lines = F.coalesce(whole(part(t, "line_count"), mark(part(t, "line_count"))).cast("string"), F.lit("")).alias("doc_line_count")
-    printed = read.select("doc_id", F.col("problem").alias("_problem"), F.when(F.col("problem").isNull(), n_rows).otherwise(0).alias("_rows"), lines, text("total_qty"), text("total_amount"), split.alias("doc_split"))
+    printed = parsed.select("doc_id", F.col("problem").alias("_problem"), F.when(F.col("problem").isNull(), n_rows).otherwise(0).alias("_rows"), lines, text("total_qty"), text("total_amount"), split.alias("doc_split"))
     placed = own.join(printed, "doc_id", "left").withColumn("row_count", F.coalesce("_rows", F.lit(0)).cast("long"))
     # Over the files of one batch, of which there are few.
     order = Window.partitionBy("batch_id").orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_before", F.coalesce(F.sum("row_count").over(order), F.lit(0)))
 
-    built = build_rows(payload_rows(read, extra_fields), book, ["ship_idx"])
-    found = issue_places(ground_payloads(read, documents), read.select("doc_id", split.alias("split")))
+    # Rule books read values, and no anchors.
+    built = build_rows(payload_rows(read, extra_fields, keys_used(book), anchored=False), book, ["ship_idx"])
+    found = issue_places(ground_payloads(read, documents), parsed.select("doc_id", split.alias("split")))
     rows = spread_issues(built, found)
     number = F.regexp_extract("row_id", r"(\d+)\z", 1).cast("long") + F.col("_before")
     fields = [c for c in built.columns if c not in ("doc_id", "row_id", "ship_idx", "issues")]
     rows = rows.join(placed.select("batch_id", "doc_id", "_before"), "doc_id").select("batch_id", F.col("doc_id").alias("file_id"), F.format_string("r_%04d", number).alias("row_id"), *fields, "issues")
 
-    found = ground_payloads(read.filter(n_rows == 0), documents)
+    found = ground_payloads(parsed.filter(n_rows == 0).drop("_n_rows", "_split"), documents)
     errors = found.filter("level = 'error'").withColumn("_at", told_order(F.col("path")))
     reasons = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_at", "path", "code"))), 1, REASONS), lambda x: F.concat(x["path"], F.lit(": "), x["code"]))
     more = F.when(F.count("*") > REASONS, F.concat(F.lit(" (and "), (F.count("*") - REASONS).cast("string"), F.lit(" more)"))).otherwise("")

@@ -22,6 +22,8 @@ from . import rules as R
 HEADER_KEYS = ("po_number", "po_date", "requested_date", "brand_text", "order_text", "ship_to_text", "bill_to_text", "currency_text", "incoterms_text", "payment_terms_text", "packing_spec", "remark_default")
 SHIPMENT_KEYS = ("shipment_no", "receiving_loc", "ship_to_text", "ship_by_text", "remark")
 LINE_KEYS = ("posex", "our_item", "item_code", "description", "quantity", "unit", "unit_price", "net_value", "delivery_date", "ship_to_text", "brand_text", "remark")
+#: Without a configured path, the first of these that isn't blank labels a group.
+GROUP_KEYS = ("receiving_loc", "shipment_no")
 VALUE = "struct<value:string,src:int,src_end:int,page:int,confidence:double>"
 LINE = "struct<line_no:int,src:int,src_end:int," + ",".join(f"{k}:{VALUE}" for k in LINE_KEYS) + f",extra:map<string,{VALUE}>>"
 SHIPMENT = "struct<src:int,src_end:int," + ",".join(f"{k}:{VALUE}" for k in SHIPMENT_KEYS) + f",lines:array<{LINE}>>"
@@ -269,7 +271,7 @@ def build_rows(rows: DataFrame, book: Mapping, keep_columns: Sequence[str] = ())
 
 def group_label(scope: Scope, path: str | None = None) -> Column:
     """The configured path, else the receiving location, else the shipment number, else ''."""
-    names = [p for p in (path, "shipment.receiving_loc", "shipment.shipment_no") if p]
+    names = [p for p in (path, *(f"shipment.{k}" for k in GROUP_KEYS)) if p]
     return F.coalesce(*[F.nullif(scope(p), F.lit("")) for p in names if scope(p) is not None], F.lit(""))
 
 
