@@ -35,6 +35,6 @@ def ground(values: DataFrame, documents: DataFrame) -> DataFrame:
     told = lambda level, code: F.struct(level.alias("level"), F.lit(code).alias("code"))
     evidence = F.when(F.col("_check") & wrong, told(F.lit("error"), "EVIDENCE_NOT_FOUND")).when(F.col("_check") & (F.col("_found") == "fuzzy"), told(F.lit("warn"), "EVIDENCE_WEAK"))
     level = confidence_issue(F.col("confidence"), F.coalesce("required", F.lit(False)))
-    issues = F.filter(F.array(evidence, F.when(level.isNotNull(), told(level, "LOW_CONFIDENCE"))), lambda x: x.isNotNull())
-    # Not explode: the filter that is inferred of it would look at every value a second time.
+    issues = F.array(evidence, F.when(level.isNotNull(), told(level, "LOW_CONFIDENCE")))
+    # Those that are null go as rows: a filter by a lambda would be interpreted for each value. Not explode: the filter that is inferred of it would look at every value a second time.
     return rows.select("doc_id", "path", F.explode_outer(issues).alias("_i")).filter("_i IS NOT NULL").select("doc_id", "path", "_i.level", "_i.code")
