@@ -8,7 +8,9 @@ shared folder; scoring tasks map them into memory and search them, so that a wor
 from __future__ import annotations
 
 import json
+import mmap
 import os
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +32,13 @@ BEGIN, UNKNOWN = np.int64(1 << 62), np.int64(-1)
 #: A word's id is its shard, shifted by so much, and its place there.
 PLACE_BITS = 40
 FLUSH_TOKENS = 3_000_000
+#: Tokens that are looked up together. Each look-up goes through all shards, which are more with more text: with few tokens at a time that would outweigh the rest.
+STEP_TOKENS = 1_000_000
 SHARD_BYTES = 24 << 20
 #: Discounts where counts of counts are too few to estimate them.
 FALLBACK = (0.5, 1.0, 1.5)
+#: Arrays that a worker keeps mapped: ten a shard are searched in turn, so that fewer places than arrays would keep none. A process may have 65,530 mappings.
+MAPPED = 1 << 14 if sys.version_info >= (3, 13) else 1 << 10
 PIECES = "shard long, data binary"
 
 
@@ -118,10 +124,20 @@ def save(path: str, values: np.ndarray) -> None:
     put(path, lambda out: np.save(out, values.astype(np.min_scalar_type(values.max())) if len(values) and values.dtype != U64 else values))
 
 
-@lru_cache(maxsize=1024)
+@lru_cache(maxsize=MAPPED)
 def mapped(path: str) -> np.ndarray | None:
-    """An array of the shared folder, mapped into memory; None: the shard has none."""
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else None
+    """An array of the shared folder, mapped into memory; None: the shard has none. No file stays open."""
+    try:
+        with open(path, "rb") as file:
+            np.lib.format.read_magic(file)
+            shape, _, dtype = np.lib.format.read_array_header_1_0(file)
+            if not shape[0]:
+                return np.zeros(0, dtype=dtype)
+            # Before Python 3.13 a mapping keeps its file open.
+            data = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ, **({"trackfd": False} if sys.version_info >= (3, 13) else {}))
+            return np.frombuffer(data, dtype=dtype, offset=file.tell())
+    except FileNotFoundError:
+        return None
 
 
 def places(model: Model, kind: str, shards: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -149,12 +165,20 @@ def word_ids(model: Model, hashes: np.ndarray, counts: bool = False) -> tuple[np
 
 
 def streams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each slice of texts: its place, its number of texts, the hashes of their words and ends in order, and the text of each."""
+    """For each run of texts of STEP_TOKENS: its place, its number of texts, the hashes of their words and ends in order, and the text of each."""
+    held, docs, at, n, size = [], [], 0, 0, 0
     for part in slices(texts, LOWER):
-        docs = np.arange(part.texts)
         hashes = np.full(len(part.hash) + part.texts, END)
         hashes[np.arange(len(part.hash)) + part.doc] = part.hash
-        yield part.at, part.texts, hashes, np.repeat(docs, part.count + 1)
+        held.append(hashes)
+        docs.append(np.repeat(np.arange(n, n + part.texts), part.count + 1))
+        n += part.texts
+        size += len(hashes)
+        if size >= min(STEP_TOKENS, FLUSH_TOKENS):
+            yield at, n, np.concatenate(held), np.concatenate(docs)
+            held, docs, at, n, size = [], [], at + n, 0, 0
+    if n:
+        yield at, n, np.concatenate(held), np.concatenate(docs)
 
 
 def grams(ids: np.ndarray, doc: np.ndarray, order: int) -> list[np.ndarray]:
